@@ -186,9 +186,21 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_block(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    frequent = word_counts(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    """The automaton of the most frequent words; how many the driver takes is bounded by size.
+
+    A histogram of the counts gives the least count that keeps the words within the bound, so no partition sends its own
+    best words to the driver.
+    """
+    counts = common.saved(word_counts(docs, text).where("n > 1"), "word-counts")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, kept = None, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if kept + r["count"] > size:
+            break
+        least, kept = r.step, kept + r["count"]
     merge = merger(folder)
-    return build({(w := r.word.encode()): merge(w) for r in frequent.collect()})
+    frequent = counts.where(step >= least).collect() if kept else []
+    return build({(w := r.word.encode()): merge(w) for r in frequent})
 
 
 def prepared(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text"):
