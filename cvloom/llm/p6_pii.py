@@ -10,6 +10,7 @@ Null and blank texts give nothing; repeated rows are found each, equal spans of
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -23,8 +24,8 @@ from .boosting import Trees
 from .p3_names import LEGAL, PARTICLES, TRADES, fold, given_names, letters, parse
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-#: Texts in the training sample at most, and the threshold on the calibrated probability.
-SAMPLE_TEXTS, THRESHOLD = 6_000, 0.5
+#: Contents in the training sample at most (a sixth of it for each other column), and the threshold on the calibrated probability.
+SAMPLE_TEXTS, THRESHOLD = 5_000, 0.5
 # Words around a span, by what they speak for.
 NEAR_WORDS = {
     "contact": "tel telefono telefon téléphone teléfono phone cell cellulare mobile mobil portable chiamare call appeler llamar anrufen numero casa fisso whatsapp fax recapiti contacts oder contatti referenze",
@@ -244,12 +245,23 @@ def candidates(text: str, given: frozenset) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def begin(text: str, a: int, back: int) -> int:
+    """Start of the context before a span: the line's or the sentence's; a short word with a full stop ends none."""
+    low = max(0, a - back)
+    at = max(low, text.rfind("\n", low, a) + 1)
+    dot = text.rfind(". ", at, a)
+    while dot >= 0:
+        if dot - at >= 4 and " " not in text[dot - 4 : dot]:
+            return dot + 2
+        dot = text.rfind(". ", at, dot)
+    return at
+
+
 def features(text: str, kind: str, a: int, b: int, pattern: int, given: frozenset) -> list[float]:
     """Format of a span and the classes of the words around it."""
     s = text[a:b]
     digits = sum(c.isdigit() for c in s)
-    line = max(text.rfind("\n", 0, a), text.rfind(". ", 0, a)) + 1
-    left = [w.lower() for w in WORDS.findall(text[max(line, a - 60) : a])][-6:]
+    left = [w.lower() for w in WORDS.findall(text[begin(text, a, 60) : a])][-6:]
     stop = text.find("\n", b)
     right = [w.lower() for w in WORDS.findall(text[b : min(b + 30, stop if stop >= 0 else len(text))])][:3]
     last = CLASS.get(left[-1], 0) if left else 0
@@ -272,8 +284,7 @@ def features(text: str, kind: str, a: int, b: int, pattern: int, given: frozense
 def clear_label(text: str, kind: str, a: int, b: int, pattern: int, given: frozenset, field: bool) -> int | None:
     """1 or 0 where the context of a span leaves no doubt, else None. Training uses these spans only."""
     s = text[a:b]
-    line = max(text.rfind("\n", 0, a), text.rfind(". ", 0, a), text.rfind("; ", 0, a)) + 1
-    left = text[max(line, a - 30) : a].lower()
+    left = text[begin(text, a, 30) : a].lower()
     words = WORDS.findall(left)
     last = words[-1] if words else ""
     cls = CLASS.get(last, 0)
@@ -364,9 +375,13 @@ def places(hits: DataFrame, raw: DataFrame) -> DataFrame:
 def model_for(rows: DataFrame, names: DataFrame) -> tuple[Trees, frozenset]:
     """The model, fitted on the texts with the least hashes: a bounded sample that no order of rows changes."""
     given = given_names(names.where("name is not null").distinct())
-    share = min(1.0, 1.3 * SAMPLE_TEXTS / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("place", "row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE_TEXTS)
-    sample = sorted((r.text, r.place != "content") for r in drawn.select("text", "place").collect())
+    sample: list[tuple[str, bool]] = []
+    for r in rows.groupBy("place").count().collect():  # three places
+        most = SAMPLE_TEXTS if r.place == "content" else SAMPLE_TEXTS // 6
+        share = min(1.0, 1.3 * most / max(1, r["count"]))
+        drawn = rows.where((F.col("place") == r.place) & (F.pmod(F.xxhash64("place", "row_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)))
+        sample += [(x.text, r.place != "content") for x in drawn.select("text").limit(most).collect()]
+    sample.sort()
     return trained(sample, given), given
 
 
