@@ -229,16 +229,29 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
 
 
 def with_lengths(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, name: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of each text, the text itself left out."""
-    make = prepared(docs, folder, text)
+    """docs with the number of tokens of each text, the text itself left out.
+
+    Numbers need no lexicon: each word is merged once per worker and its length remembered.
+    """
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*rest).withColumn(name, F.lit(0)).schema
 
     def run(batches):
-        encode_text = make()
+        merge, seen = merger(folder), {}
         for batch in batches:
-            n = pa.array([len(encode_text(t)) for t in batch.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], [*rest, name])
+            numbers = []
+            for value in batch.column(0).to_pylist():
+                pieces = SPLIT.findall(value) if value else []
+                try:
+                    numbers.append(sum(map(seen.__getitem__, pieces)))
+                except KeyError:
+                    if len(seen) > MEMORY:
+                        seen.clear()
+                    for p in pieces:
+                        if p not in seen:
+                            seen[p] = len(merge(p.encode("utf-8", "surrogatepass")))
+                    numbers.append(sum(map(seen.__getitem__, pieces)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(numbers, pa.int32())], [*rest, name])
 
     return common.spread(docs.select(text, *rest)).mapInArrow(run, schema)
 
