@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .boosting import Trees
-from .p3_names import LEGAL, PARTICLES, TRADES, fold, given_names, letters, parse
+from .p3_names import LEGAL, PARTICLES, TRADES, fold, given_names, letters
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Contents in the training sample at most (a sixth of it for each other column), and the threshold on the calibrated probability.
@@ -106,12 +106,17 @@ STREET_PARTS = (
     (" rue ", " bd ", " boulevard ", " avenue ", " av. ", " place ", " allée ", " chemin ", " impasse ", " quai "),
     ("calle ", "avenida ", "avda. ", "av. ", "c/", "plaza ", "pza. ", "paseo "),
 )
+GERMAN_PARTS = ("straße", "strasse", "str. ", "weg ", "weg,", "platz ", "platz,", "gasse ", "allee ", "ring ", "ufer ")
 NUMBERS = re.compile(r"\d[ ./)-]*\d{2}[\d ./()-]{3,}|[A-Za-z]\d|\d[A-Za-z]|\d{7}|\d \d{2} \d{2}|[A-Z]{2} \d{2} ")
 LEADS_ANY = re.compile(LEADS.pattern.rstrip("$"), re.I)
 #: Titles as the word before a name.
 TITLES = frozenset("dott dott.ssa dottssa dr dr.ssa drssa ing sig sig.ra sigra sig.na prof prof.ssa avv arch geom rag mr mrs ms miss frau herr mme mlle sr sra srta dña don doña".split())
 
 
+#: Parts of titles, for a quick look whether a text holds any.
+TITLE_PARTS = ("dott", "dr. ", " dr ", "drssa", "dr.ssa", "ing. ", " ing ", "sig. ", "sig.", "prof", "avv", "arch.", "geom", "rag.", "mr. ", "mr ", "mrs", " ms ", "ms. ", "miss", "frau ", "herr ", "mme", "mlle", "sr. ", " sr ", "sra", "srta", "dña", "doña", " don ")
+
+
 def title_at(text: str, a: int) -> int:
     """Start of the title right before position a, or -1."""
     if text[a - 1 : a] != " ":
@@ -121,6 +126,20 @@ def title_at(text: str, a: int) -> int:
     return at if word.rstrip(".").lower() in TITLES else -1
 
 
+_STARTERS: dict[str, bool] = {}
+
+
+def _starter(word: str, given: frozenset) -> bool:
+    """Whether a capital word may start a name by itself: a given name or an initial. Answers are remembered."""
+    got = _STARTERS.get(word)
+    if got is None:
+        if len(_STARTERS) > 300_000:
+            _STARTERS.clear()
+        own = _folded(word.rstrip("."))
+        got = _STARTERS[word] = (len(word) == 2 and word[1] == ".") or own in given or ("_" in own and own.split("_")[0] in given)
+    return got
+
+
 def firm(text: str) -> bool:
     found = [letters(fold(t)) for t in re.split(r"[\s,]+", text)]
     return any((b in LEGAL and len(b) > 2) or b in TRADES or any(b.endswith(t) and len(b) > len(t) + 3 for t in ("software", "solutions", "servizi", "consulting", "informatica")) for b in found)
@@ -140,11 +159,16 @@ def name_spans(text: str, given: frozenset) -> list[tuple[int, int]]:
             a += len(m["v"]) - len(m["v"].lstrip())
             if (t := TITLE_START.match(value)):
                 a, value = a + t.end(), value[t.end() :]
-            if 2 < len(value) <= 60 and not firm(value) and not re.fullmatch(r"[A-Z]{3}", value) and parse(value, given) is not None and parse(value, given)["k"] == "person":
+            if 2 < len(value) <= 60 and not firm(value) and len([x for x in re.split(r"[\s,_]+", value) if x]) > 1:
                 found.append((a, a + len(value)))
     tokens = [(m.start(), m.end(), m.group()) for m in CAPITAL.finditer(text)]
+    titled = any(x in low for x in TITLE_PARTS)
+    starts = [k for k, (a, _, w) in enumerate(tokens) if _starter(w, given) or a in leads or (titled and a > 2 and title_at(text, a) >= 0)]
     n, k = len(tokens), 0
-    while k < n:
+    for k0 in starts:
+        if k0 < k:
+            continue
+        k = k0
         a, b, word = tokens[k]
         own = _folded(word.rstrip("."))
         initial = len(word) == 2 and word[1] == "."
@@ -239,7 +263,7 @@ def candidates(text: str, given: frozenset) -> list[tuple[str, int, int, int]]:
                 out.append(("phone", a, m.end(), 0))
         out += [("id_number", m.start(), m.end(), int(m.lastgroup[1:])) for m in ANY_IDENTITY.finditer(text)]
     for k, p in enumerate(ADDRESS):
-        if GERMAN.search(text) if k == 4 else any(x in low for x in STREET_PARTS[k]):
+        if any(x in low for x in GERMAN_PARTS) and GERMAN.search(text) if k == 4 else any(x in low for x in STREET_PARTS[k]):
             out += [("address", m.start(), m.end(), k + 1) for m in p.finditer(text) if k < 4 or GERMAN.search(m.group())]
     out += [("name", a, b, 0) for a, b in name_spans(text, given)]
     return out
