@@ -73,11 +73,11 @@ def matched_on(features: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(features[k].score > 0, k) for k in order]))
 
 
-def match_score(scores: dict[str, tuple[Column, Column]]) -> Column:
+def match_score(scores: dict[str, tuple[Column, Column]], places: int = 4) -> Column:
     """Weighted mean of the dimensions that apply; scores: dimension to (applies, score). A missing score counts 0."""
     total = sum(F.when(on, F.lit(WEIGHTS[k])).otherwise(0.0) for k, (on, _) in scores.items())
     got = sum(F.when(on, F.lit(WEIGHTS[k]) * F.coalesce(s, F.lit(0.0))).otherwise(0.0) for k, (on, s) in scores.items())
-    return F.round(F.when(total > 0, got / F.round(total, 6)).otherwise(0.0), 4)
+    return F.round(F.when(total > 0, got / F.round(total, 6)).otherwise(0.0), places)
 
 
 def level(score: Column, steps: list[tuple[float, str]], other: str) -> Column:

@@ -161,14 +161,14 @@ def match_features(spark, d):
     return features(spark, d).select("hit_id", *[F.col(f"{n}.score").alias(f"{n}_score") for n in names], K.matched_on({n: F.col(n) for n in names}).alias("matched_on"))
 
 
-_SCORE = "round((0.5 * sk + 0.25 * ro + 0.1 * lo + 0.05 * se + 0.05 * la + 0.05 * av + CASE WHEN ss > 0 THEN 0.05 * ss / (1 + ss) ELSE 0 END) / (1.0 + CASE WHEN ss > 0 THEN 0.05 ELSE 0 END), 4)::DOUBLE"
+_SCORE = "round((0.5 * sk + 0.25 * ro + 0.1 * lo + 0.05 * se + 0.05 * la + 0.05 * av + CASE WHEN ss > 0 THEN 0.05 * ss / (1 + ss) ELSE 0 END) / (1.0 + CASE WHEN ss > 0 THEN 0.05 ELSE 0 END), 6)::DOUBLE"
 
 
 def scored(spark, d) -> DataFrame:
     f = features(spark, d)
     on = F.lit(True)
     parts = {n: (on, F.col(f"{n}.score")) for n in ("skills", "role", "location", "seniority", "language", "availability")} | {"semantic": (F.col("semantic_score") > 0, V.saturation(F.col("semantic_score")))}
-    return f.withColumn("match_score", K.match_score(parts))
+    return f.withColumn("match_score", K.match_score(parts, 6))
 
 
 @query(f"WITH {_FEATURES}, g AS (SELECT *, {_SCORE} AS match_score FROM f) SELECT hit_id, match_score, CASE WHEN match_score >= 0.8 THEN 'strong' WHEN match_score >= 0.6 THEN 'good' ELSE 'weak' END AS match_type FROM g")
