@@ -28,18 +28,20 @@ class Trees:
         self.scale, self.shift = 1.0, 0.0
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 200) -> "Trees":
-        s, a, c = self.raw(x), 1.0, 0.0
+    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 100, prior: float = 1.0) -> "Trees":
+        """Platt scaling on held-out rows; a prior keeps scale and shift near 1 and 0, also where the classes part cleanly."""
+        s, a, c = np.clip(self.raw(x), -30, 30), 1.0, 0.0
         t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-(a * s + c)))
-            w, g = p * (1 - p) + 1e-9, p - t
-            h = np.array([[np.sum(w * s * s) + 1e-6, np.sum(w * s)], [np.sum(w * s), np.sum(w) + 1e-6]])
-            d = np.linalg.solve(h, [np.sum(g * s) + 1e-3 * (a - 1), np.sum(g)])
+            p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
+            w, g = p * (1 - p), p - t
+            h = np.array([[np.sum(w * s * s) + prior, np.sum(w * s)], [np.sum(w * s), np.sum(w) + prior]])
+            d = np.clip(np.linalg.solve(h, [np.sum(g * s) + prior * (a - 1), np.sum(g) + prior * c]), -0.5, 0.5)
             a, c = a - d[0], c - d[1]
             if abs(d).max() < 1e-6:
                 break
-        self.scale, self.shift = float(a), float(c)
+        if np.isfinite([a, c]).all() and a > 0:
+            self.scale, self.shift = float(a), float(c)
         return self
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
@@ -87,4 +89,4 @@ class Trees:
         return self.base + sum(self._apply(t, b) for t in self.trees)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.raw(x) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -50, 50)))
