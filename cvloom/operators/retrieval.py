@@ -45,7 +45,7 @@ def bm25(chunks: DataFrame, key: str, text: str, query: str) -> DataFrame:
         return chunks.select(key, F.lit(1.0).alias("lex_score"))
     terms = list(dict.fromkeys(query.lower().split()))
     t = chunks.select(key, T.tokens(F.coalesce(text, F.lit(""))).alias("_w"))
-    t = t.select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _is(w))).alias(f"_f{k}") for k, w in enumerate(terms)])
+    t = t.select(key, F.size("_w").alias("_n"), *[(F.size("_w") - F.size(F.array_remove("_w", w))).alias(f"_f{k}") for k, w in enumerate(terms)])
     stats = t.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
     s = t.where(reduce(lambda a, b: a | b, [F.col(f"_f{k}") > 0 for k in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row of statistics
 
@@ -57,10 +57,6 @@ def bm25(chunks: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return s.select(key, F.round(sum(part(k) for k in range(len(terms))), 6).alias("lex_score"))
 
 
-def _is(word: str):
-    return lambda x: x == word
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity clamped to [0, 1]; 0 for a vector without length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
