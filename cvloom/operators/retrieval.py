@@ -44,17 +44,23 @@ def bm25(chunks: DataFrame, key: str, text: str, query: str) -> DataFrame:
     if query.strip() == "*":
         return chunks.select(key, F.lit(1.0).alias("lex_score"))
     terms = list(dict.fromkeys(query.lower().split()))
-    t = chunks.select(key, T.tokens(F.coalesce(text, F.lit(""))).alias("_w"))
-    t = t.select(key, F.size("_w").alias("_n"), *[(F.size("_w") - F.size(F.array_remove("_w", w))).alias(f"_f{k}") for k, w in enumerate(terms)])
-    stats = t.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
-    s = t.where(reduce(lambda a, b: a | b, [F.col(f"_f{k}") > 0 for k in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row of statistics
+    text_of = F.lower(F.coalesce(text, F.lit("")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        t = rows.select(key, T.tokens(F.coalesce(text, F.lit(""))).alias("_w"))
+        return t.select(key, F.size("_w").alias("_n"), *[(F.size("_w") - F.size(F.array_remove("_w", w))).alias(f"_f{k}") for k, w in enumerate(terms)])
+
+    stats = counted(chunks).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
+    # A plain look for the letters of a term goes first; a test on the counts would be pushed below them and split each text again.
+    s = counted(chunks.where(reduce(lambda a, b: a | b, [F.contains(text_of, F.lit(w)) for w in terms]))).crossJoin(F.broadcast(stats))  # one row of statistics
 
     def part(k: int) -> Column:
         idf = F.log(1 + (F.col("_docs") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
         f = F.col(f"_f{k}")
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
 
-    return s.select(key, F.round(sum(part(k) for k in range(len(terms))), 6).alias("lex_score"))
+    scored = s.select(key, F.round(sum(part(k) for k in range(len(terms))), 6).alias("lex_score"))
+    return scored.where("lex_score > 0")
 
 
 def cosine(a: Column, b: Column) -> Column:
