@@ -33,6 +33,8 @@ MEMORY = 400_000
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT = regex.compile(PATTERN)
+#: A space between other white space, where a word of the pattern may hold several of them.
+BETWEEN = regex.compile(r"\s (?:\s|$)")
 
 
 @lru_cache(maxsize=4)
@@ -110,6 +112,9 @@ def build(entries: dict[bytes, list[int]]) -> bytes:
     return struct.pack("<9q", root, len(order), *map(len, blocks)) + b"".join(blocks)
 
 
+BYTES = [bytes([b]) for b in range(256)]
+
+
 class Lexicon:
     """A mapped automaton."""
 
@@ -123,15 +128,17 @@ class Lexicon:
             at += n
         self.first, self.target, self.skip, self.starts, self.ids = parts[:5]
         self.labels, self.finals = parts[5][0], parts[6][0]
+        self.look = block.find
 
     def find(self, word: bytes) -> list[int] | None:
-        s, number, first, block, base = self.root, 0, self.first, self.block, self.labels
-        for k in range(len(word)):
-            arc = block.find(word[k : k + 1], base + first[s], base + first[s + 1])
+        s, number, base = self.root, 0, self.labels
+        look, first, skip, target = self.look, self.first, self.skip, self.target
+        for b in word:
+            arc = look(BYTES[b], base + first[s], base + first[s + 1]) - base
             if arc < 0:
                 return None
-            number += self.skip[arc - base]
-            s = self.target[arc - base]
+            number += skip[arc]
+            s = target[arc]
         if not self.block[self.finals + s]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
@@ -144,45 +151,90 @@ def open_lexicon(path: str | None, block: bytes | None) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+class Parts(dict):
+    """Remembers what is worked out for a part of a text; forgets everything when it holds too many."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, part: str):
+        if len(self) > MEMORY:
+            self.clear()
+        got = self[part] = self.work(part)
+        return got
+
+
+def pieces_of(text: str) -> list[str]:
+    """Parts of a text whose words can be found one part at a time.
+
+    A space after or before something else than white space starts a word of the public pattern, so a text is cut before
+    each. A text with a space amid white space is one part.
+    """
+    if BETWEEN.search(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return [first, *[" " + r for r in rest]]
+
+
 def encoder(lexicon: Lexicon, merge):
     """Function from a text to its ids."""
-    seen: dict[str, list[int]] = {}
+
+    find, split = lexicon.find, SPLIT.findall
+
+    def ids_of(word: str) -> list[int]:
+        data = word.encode("utf-8", "surrogatepass")
+        found = find(data)
+        return merge(data) if found is None else found
+
+    words = Parts(ids_of)
+    known = words.__getitem__
+
+    def ids_of_part(part: str) -> list[int]:
+        own = split(part)
+        return known(own[0]) if len(own) == 1 else [*chain.from_iterable(map(known, own))]
+
+    parts = Parts(ids_of_part)
 
     def encode(text: str | None) -> list[int]:
         if not text:
             return []
-        pieces = SPLIT.findall(text)
-        try:
-            return [*chain.from_iterable(map(seen.__getitem__, pieces))]
-        except KeyError:
-            if len(seen) > MEMORY:
-                seen.clear()
-            for p in pieces:
-                if p not in seen:
-                    word = p.encode("utf-8", "surrogatepass")
-                    ids = lexicon.find(word)
-                    seen[p] = merge(word) if ids is None else ids
-            return [*chain.from_iterable(map(seen.__getitem__, pieces))]
+        pieces = pieces_of(text)
+        if len(pieces) == 1:
+            return parts.work(text)
+        return [*chain.from_iterable(map(parts.__getitem__, pieces))]
 
     return encode
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of all words of all texts: counted in each partition first, then summed."""
+    """Counts of all words of all texts.
+
+    Parts between spaces are counted in each partition and summed; each part's words then take its count.
+    """
 
     def count(batches):
         total: Counter = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if value:
-                    total.update(SPLIT.findall(value))
-        words = [*total]
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w] for w in part], pa.int64())], ["word", "n"])
+                    total.update(pieces_of(value))
+        parts = [*total]
+        for at in range(0, len(parts), 50_000):
+            some = parts[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([total[w] for w in some], pa.int64())], ["part", "n"])
 
-    counted = common.spread(docs.select(text).where(F.length(text) > 0)).mapInArrow(count, "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    def split(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in SPLIT.findall(part):
+                    total[w] += n
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["word", "n"])
+
+    counted = common.spread(docs.select(text).where(F.length(text) > 0)).mapInArrow(count, "part string, n bigint")
+    parts = counted.groupBy("part").agg(F.sum("n").alias("n"))
+    return parts.mapInArrow(split, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon_block(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
@@ -237,20 +289,11 @@ def with_lengths(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS,
     schema = docs.select(*rest).withColumn(name, F.lit(0)).schema
 
     def run(batches):
-        merge, seen = merger(folder), {}
+        merge = merger(folder)
+        words = Parts(lambda w: len(merge(w.encode("utf-8", "surrogatepass"))))
+        parts = Parts(lambda part: sum(map(words.__getitem__, SPLIT.findall(part))))
         for batch in batches:
-            numbers = []
-            for value in batch.column(0).to_pylist():
-                pieces = SPLIT.findall(value) if value else []
-                try:
-                    numbers.append(sum(map(seen.__getitem__, pieces)))
-                except KeyError:
-                    if len(seen) > MEMORY:
-                        seen.clear()
-                    for p in pieces:
-                        if p not in seen:
-                            seen[p] = len(merge(p.encode("utf-8", "surrogatepass")))
-                    numbers.append(sum(map(seen.__getitem__, pieces)))
+            numbers = [sum(map(parts.__getitem__, pieces_of(t))) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(numbers, pa.int32())], [*rest, name])
 
     return common.spread(docs.select(text, *rest)).mapInArrow(run, schema)
