@@ -225,7 +225,11 @@ def judged(rows: DataFrame, key: str = "eval_id") -> DataFrame:
     top = total.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(MODEL_SIZE).select("gram")
     model = spark.sparkContext.broadcast([(r.lang, r.gram, r.n) for r in total.join(top, "gram").select("lang", "gram", "n").collect()])
     contexts = context_counts(rows)
-    get = F.udf(own_contexts, "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def get(texts: pd.Series) -> pd.Series:
+        return texts.map(own_contexts)
+
     own = rows.where(F.trim("response") != "").select(key, F.explode(get("response")).alias("context")).join(contexts, "context")
     own = own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("context", F.array("n", "line", "end")))).alias("contexts"))  # four a pair
 

@@ -134,7 +134,11 @@ def evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = docs.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), line.alias("line", "t"))
     odd = each.select("doc_id", "source", "line", F.explode(F.regexp_extract_all("t", F.lit(f"({ODD})"), F.lit(1))).alias("token"))
     odd = common.saved(odd.groupBy("doc_id", "source", "line", "token").agg(F.count("*").alias("n")), "odd-words")
-    is_misread = F.pandas_udf(lambda tokens: tokens.map(misread).astype(bool), "boolean", F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("boolean")
+    def is_misread(tokens: pd.Series) -> pd.Series:
+        return tokens.map(misread).astype(bool)
+
     types = common.spread(odd.groupBy("token").agg(F.sum("n").alias("n"))).withColumn("strange", is_misread("token"))
     types = common.saved(types, "odd-types")
     model = odd.sparkSession.sparkContext.broadcast(characters(types.where("not strange")))
