@@ -33,6 +33,11 @@ MEMORY = 400_000
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT = regex.compile(PATTERN)
+SIGNS = frozenset(".,:;)!?/-")
+#: First character beyond those of which every Unicode version says the same.
+WESTERN = "\u0250"
+#: Bytes by which a word that cannot be in the automaton is told without a walk.
+HEAD = 5
 #: A space between other white space, where a word of the pattern may hold several of them.
 BETWEEN = regex.compile(r"\s (?:\s|$)")
 
@@ -144,6 +149,21 @@ class Lexicon:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
+    def heads(self, n: int) -> frozenset[bytes]:
+        """First n bytes of all words, and all shorter words."""
+        out, stack = set(), [(self.root, b"")]
+        while stack:
+            s, head = stack.pop()
+            if len(head) == n:
+                out.add(head)
+                continue
+            if self.block[self.finals + s]:
+                out.add(head)
+            for arc in range(self.first[s], self.first[s + 1]):
+                stack.append((self.target[arc], head + BYTES[self.block[self.labels + arc]]))
+        return frozenset(out)
+
+
 def open_lexicon(path: str | None, block: bytes | None) -> Lexicon:
     if path is None:
         return Lexicon(block)
@@ -151,6 +171,17 @@ def open_lexicon(path: str | None, block: bytes | None) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def split_part(part: str) -> list[str]:
+    """Words of a part. Western letters alone, with or without one sign after them, need no pattern."""
+    body = part[1:] if part[:1] == " " else part
+    if body and max(body) < WESTERN:
+        if body.isalpha():
+            return [part]
+        if body[-1] in SIGNS and body[:-1].isalpha():
+            return [part[:-1], part[-1]]
+    return SPLIT.findall(part)
+
+
 class Parts(dict):
     """Remembers what is worked out for a part of a text; forgets everything when it holds too many."""
 
@@ -180,18 +211,18 @@ def pieces_of(text: str) -> list[str]:
 def encoder(lexicon: Lexicon, merge):
     """Function from a text to its ids."""
 
-    find, split = lexicon.find, SPLIT.findall
+    find, heads = lexicon.find, lexicon.heads(HEAD)
 
     def ids_of(word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
-        found = find(data)
+        found = find(data) if data[:HEAD] in heads else None
         return merge(data) if found is None else found
 
     words = Parts(ids_of)
     known = words.__getitem__
 
     def ids_of_part(part: str) -> list[int]:
-        own = split(part)
+        own = split_part(part)
         return known(own[0]) if len(own) == 1 else [*chain.from_iterable(map(known, own))]
 
     parts = Parts(ids_of_part)
@@ -228,7 +259,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in SPLIT.findall(part):
+                for w in split_part(part):
                     total[w] += n
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["word", "n"])
 
@@ -291,7 +322,7 @@ def with_lengths(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS,
     def run(batches):
         merge = merger(folder)
         words = Parts(lambda w: len(merge(w.encode("utf-8", "surrogatepass"))))
-        parts = Parts(lambda part: sum(map(words.__getitem__, SPLIT.findall(part))))
+        parts = Parts(lambda part: sum(map(words.__getitem__, split_part(part))))
         for batch in batches:
             numbers = [sum(map(parts.__getitem__, pieces_of(t))) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(numbers, pa.int32())], [*rest, name])
