@@ -255,17 +255,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             some = parts[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([total[w] for w in some], pa.int64())], ["part", "n"])
 
-    def split(batches):
-        total: Counter = Counter()
-        for batch in batches:
-            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in split_part(part):
-                    total[w] += n
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["word", "n"])
-
     counted = common.spread(docs.select(text).where(F.length(text) > 0)).mapInArrow(count, "part string, n bigint")
     parts = counted.groupBy("part").agg(F.sum("n").alias("n"))
-    return parts.mapInArrow(split, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = parts.select(F.explode(F.regexp_extract_all("part", F.lit(PATTERN), F.lit(0))).alias("word"), "n")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon_block(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
