@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs as U
 from ..functions import values as V
 from .registry import query, table
 
@@ -173,11 +174,17 @@ def normalise_request(spark, d):
 
 @query("""SELECT hit_id, trim(regexp_replace(regexp_replace(content, '\\s+', ' ', 'g'), '[\\x{00}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), ' ') AS normal FROM hits WHERE regexp_full_match(content, '[\\x{01}-\\x{7f}]*')""")
 def normalize_text(spark, d):
-    """Normal form of the contents in plain characters; others need NFKC, which functions.udfs has."""
+    """Normal form of the contents in plain characters only, as its SQL has no NFKC; normalize_text_all has all contents."""
     h = table(spark, d, "hits").where(F.col("content").rlike(r"^[\x01-\x7f]*$"))
     return h.select("hit_id", F.trim(F.regexp_replace(F.regexp_replace("content", r"\s+", " "), r"[\x00-\x1F\x7F-\x9F]", "")).alias("normal"))
 
 
+@query()
+def normalize_text_all(spark, d):
+    """Normal form of every content, with NFKC."""
+    return table(spark, d, "hits").where("content is not null").select("hit_id", U.nfkc()("content").alias("normal"))
+
+
 @query("""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words, len(regexp_extract_all(text, '(?m)^#+ ')) AS headings FROM documents WHERE text IS NOT NULL""")
 def text_stats(spark, d):
     c = table(spark, d, "documents").where("text is not null")
