@@ -147,7 +147,7 @@ def dedup_keep_first(spark, d):
 
 @query("""SELECT h.hit_id FROM hits h WHERE content IS NOT NULL AND EXISTS (SELECT 1 FROM canonical_values c WHERE c.field = 'skill' AND length(c.value) > 8 AND contains(lower(h.content), c.value))""")
 def theta_semi_contains(spark, d):
-    """Hits whose content names one of the longer skills of the list (a small list: one predicate, no pairs)."""
+    """Hits whose content has one of the longer skills of the list (a small list: one predicate, no pairs); theta_semi_words has all, as whole words."""
     return _named(spark, d, True)
 
 
@@ -156,6 +156,31 @@ def theta_anti_contains(spark, d):
     return _named(spark, d, False)
 
 
+_WORD = """coalesce(regexp_matches(' ' || lower(content) || ' ', (SELECT '[^\\p{L}\\p{N}_](?:' || string_agg(regexp_escape(lower(value)), '|') || ')[^\\p{L}\\p{N}_]' FROM canonical_values WHERE field = 'skill' AND trim(value, ' ') <> '')), false)"""
+
+
+@query(f"SELECT hit_id FROM hits WHERE content IS NOT NULL AND {_WORD}")
+def theta_semi_words(spark, d):
+    """Hits whose content names a skill of the list, of any length, as a whole word."""
+    return _named_whole(spark, d, True)
+
+
+@query(f"SELECT hit_id FROM hits WHERE content IS NOT NULL AND NOT {_WORD}")
+def theta_anti_words(spark, d):
+    """Hits whose content names no skill of the list as a whole word."""
+    return _named_whole(spark, d, False)
+
+
+def _named_whole(spark, d, wanted: bool):
+    """A plain look for a name goes first; its pattern is tried only where its letters are."""
+    name = F.lower("value")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace(name, r"([^\p{L}\p{N}])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
+    values = table(spark, d, "canonical_values").where("field = 'skill' and trim(value) <> ''").agg(F.collect_set(F.struct(name.alias("name"), pattern.alias("pattern"))).alias("values"))
+    h = table(spark, d, "hits").where("content is not null").select("hit_id", F.lower("content").alias("c")).crossJoin(F.broadcast(values))  # one row
+    some = F.exists("values", lambda v: F.contains(F.col("c"), v.getField("name")) & (F.regexp_instr(F.col("c"), v.getField("pattern"), F.lit(0)) > 0))
+    return h.where(some if wanted else ~some).select("hit_id")
+
+
 def _named(spark, d, wanted: bool):
     values = table(spark, d, "canonical_values").where("field = 'skill' and length(value) > 8").agg(F.collect_set("value").alias("values"))
     h = table(spark, d, "hits").where("content is not null").select("hit_id", F.lower("content").alias("c")).crossJoin(F.broadcast(values))  # one row

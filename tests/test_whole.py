@@ -19,3 +19,12 @@ def test_normalize_text_all(spark, tmp_path):
     want = {k: re.sub(r"[\x00-\x1f\x7f-\x9f]", "", re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t))).strip() for k, t in enumerate(texts) if t is not None}
     assert {r.hit_id: r.normal for r in QUERIES["normalize_text_all"](spark, d).collect()} == want
     assert want[1] == "perché già" and want[2] == "fine ABC" and len(want) == 6
+
+
+def test_theta_words(spark, tmp_path):
+    skills = ["java", "c++", "c#", "node.js", "machine learning", "javascript"]
+    texts = ["Uses Java.", "javascripts", "C++", "c++11", "C#/Node.js", "nodexjs", "MACHINE LEARNING", "java_8", "èjava", "(java)", "xjava java", "", None]
+    d = written(spark, tmp_path, hits=([*enumerate(texts)], "hit_id long, content string"), canonical_values=([*[("skill", s) for s in skills], ("role", "xjava"), ("skill", None), ("skill", "")], "field string, value string"))
+    want = {k for k, t in enumerate(texts) if t is not None and any(re.search(rf"(?<!\w){re.escape(s)}(?!\w)", t.lower()) for s in skills)}
+    assert {r.hit_id for r in QUERIES["theta_semi_words"](spark, d).collect()} == want == {0, 2, 4, 6, 9, 10}
+    assert {r.hit_id for r in QUERIES["theta_anti_words"](spark, d).collect()} == {1, 3, 5, 7, 8, 11}
