@@ -117,6 +117,15 @@ def evidence(parts: Column, most: int = 8) -> Column:
     return F.nullif(F.array_join(F.aggregate(F.filter(parts, lambda p: F.trim(p) != ""), zero, add, lambda acc: acc.kept), " | "), F.lit(""))
 
 
+def highlight_pieces(highlights: Column) -> Column:
+    """Pieces between '|' of the evidence of a chunk: its first six marked parts without marks and repeats (case aside), 1,000 characters in all."""
+    none = F.array().cast("array<string>")
+    snippets = F.flatten(F.transform(F.coalesce(F.map_values(highlights), F.array().cast("array<array<string>>")), lambda v: F.coalesce(v, none)))
+    clean = F.slice(F.filter(F.transform(snippets, T.html_strip), lambda x: x != ""), 1, 6)
+    text = F.left(F.coalesce(evidence(clean), F.lit("")), F.lit(1000))
+    return F.filter(F.transform(F.split(text, r"\|"), T.strip), lambda x: x != "")
+
+
 def filter_or_all(df: DataFrame, test: Column) -> DataFrame:
     """Rows that meet the test, or all of them if none does. One row says whether any does; no window over everything."""
     marked = df.withColumn("_ok", F.coalesce(test, F.lit(False)))

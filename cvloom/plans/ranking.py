@@ -48,7 +48,7 @@ def skills_agg(spark, d):
 t AS (SELECT doc, rn, c FROM r WHERE rn <= 8), k AS (SELECT doc, lower(c) AS l, min(rn) AS rn FROM t GROUP BY 1, 2)
 SELECT k.doc, string_agg(t.c, ' | ' ORDER BY k.rn) AS evidence FROM k JOIN t ON k.doc = t.doc AND k.rn = t.rn GROUP BY k.doc""")
 def evidence_agg(spark, d):
-    """Heads of a document's best eight chunks without repeats. The window keeps eight rows of a document, never all."""
+    """Heads of a document's best eight chunks without repeats; evidence_all has highlights and skills too. The window keeps eight rows of a document, never all."""
     h = R.by_document(table(spark, d, "hits"), []).where("trim(content) <> ''")
     w = Window.partitionBy("doc").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "hit_id")
     t = h.select("doc", "hit_id", "score", F.left("content", F.lit(140)).alias("c")).withColumn("rn", F.row_number().over(w)).where("rn <= 8")
@@ -56,6 +56,23 @@ def evidence_agg(spark, d):
     return t.groupBy("doc").agg(parts.alias("p")).select("doc", R.evidence(F.col("p")).alias("evidence"))
 
 
+@query()
+def evidence_all(spark, d):
+    """Highlights of a document's best four chunks, its first six skills and the heads of its best eight chunks: the first eight of these without repeats.
+
+    A blank chunk among the eight has no head; a document without any piece has null. Both windows keep a few rows of a document, never all.
+    """
+    h = R.by_document(table(spark, d, "hits"), [])
+    w = Window.partitionBy("doc").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "hit_id")
+    t = h.select("doc", "hit_id", "score", F.left(T.strip(F.col("content")), F.lit(140)).alias("c"), R.highlight_pieces(F.col("highlights")).alias("e")).withColumn("rn", F.row_number().over(w)).where("rn <= 8")
+    t = t.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rn", "c", "e"))).alias("t"))
+    s = h.select("doc", F.explode(T.clean_set(F.col("skills"))).alias("v")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("v"))).where("k <= 6")
+    s = s.groupBy("doc").agg(F.array_sort(F.collect_list("v")).alias("s"))
+    none = F.array().cast("array<string>")
+    marked, heads = F.flatten(F.transform(F.slice("t", 1, 4), lambda x: x.e)), F.transform("t", lambda x: F.coalesce(x.c, F.lit("")))
+    return t.join(s, "doc", "left").select("doc", R.evidence(F.concat(marked, F.coalesce("s", none), heads)).alias("evidence"))
+
+
 @query(f"""WITH g AS (SELECT {_DOC} AS doc, coalesce(lex_score, 0) AS l, coalesce(vec_score, 0) AS v, coalesce(semantic_score, 0) AS s FROM hits WHERE language IN ('English', 'Italian')),
 r AS (SELECT doc, max(round(0.7 * greatest(0, least(1, s / 4)) + 0.2 * greatest(0, least(1, v)) + 0.1 * greatest(0, least(1, l)), 8)) AS rank_score, max(l) AS lex_score, max(v) AS vec_score, count(*) AS n_chunks FROM g WHERE doc IS NOT NULL GROUP BY doc)
 SELECT doc AS document_id, rank_score::DOUBLE AS rank_score, lex_score, vec_score, n_chunks FROM r ORDER BY rank_score DESC, doc LIMIT 6""")

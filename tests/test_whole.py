@@ -28,3 +28,38 @@ def test_theta_words(spark, tmp_path):
     want = {k for k, t in enumerate(texts) if t is not None and any(re.search(rf"(?<!\w){re.escape(s)}(?!\w)", t.lower()) for s in skills)}
     assert {r.hit_id for r in QUERIES["theta_semi_words"](spark, d).collect()} == want == {0, 2, 4, 6, 9, 10}
     assert {r.hit_id for r in QUERIES["theta_anti_words"](spark, d).collect()} == {1, 3, 5, 7, 8, 11}
+
+
+def evidence(chunks):
+    """As the reference has it, over the (hit_id, score, content, highlights, skills) of a document."""
+    clean = lambda x: re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", x or "")).strip()
+    chunks, parts = sorted(chunks, key=lambda c: (-(c[1] or 0), c[0])), []
+    for c in chunks[:4]:
+        marked = [m for m in (clean(x) for v in (c[3] or {}).values() for x in v or []) if m][:6]
+        parts += [p.strip() for p in " | ".join(first(marked))[:1000].split("|") if p.strip()]
+    parts += sorted({s.strip().lower() for c in chunks for s in c[4] or [] if s and s.strip()})[:6]
+    parts += [c[2].strip()[:140] for c in chunks[:8] if c[2] and c[2].strip()]
+    return " | ".join(first(parts)[:8]) or None
+
+
+def first(items):
+    kept = {}
+    for x in items:
+        kept.setdefault(x.lower(), x)
+    return [*kept.values()]
+
+
+def test_evidence_all(spark, tmp_path):
+    mark = lambda *x: {"content": [*x]}
+    rows = [
+        ("a", 1, 0.5, "  Head one " + "x" * 200, mark("<em>Java</em>", "<em>java</em>", "uses a|b"), ["Java", " docker ", None, ""]),
+        ("a", 2, 0.9, "Head two", mark("", "<em>SQL</em>  now"), ["sql"]), ("a", 3, None, None, None, None), ("a", 4, 0.1, "head TWO", None, []),
+        ("b", 5, 1.0, " ", None, ["z", "y", "x", "w", "v", "u", "t"]), ("c", 6, 1.0, "", mark("<b>only</b>"), None), ("d", 7, 1.0, None, {"content": None}, None),
+        *[("e", 10 + k, 1.0, f"text {k}", mark(f"m{k}") if k > 1 else None, None) for k in range(12)],
+        ("f", 40, 1.0, "kept", mark(*[f"p{k} " + "y" * 300 for k in range(8)]), ["q"]),
+    ]
+    schema = "document_id string, hit_id long, score double, content string, highlights map<string,array<string>>, skills array<string>, id string"
+    d = written(spark, tmp_path, hits=([(*r, "i") for r in rows], schema))
+    want = {k: evidence([r[1:] for r in rows if r[0] == k]) for k in "abcdef"}
+    assert {r.doc: r.evidence for r in QUERIES["evidence_all"](spark, d).collect()} == want
+    assert want["b"] == "t | u | v | w | x | y" and want["c"] == "only" and want["d"] is None and want["a"].startswith("SQL now | Java | uses a | b | docker | sql | Head two")
