@@ -123,12 +123,21 @@ def element_counts(spark, d):
 @query(f"""WITH {_LINES}, r AS (SELECT doc_id, idx, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT doc_id, idx, n::BIGINT AS n FROM r WHERE before < 1200""")
 def lang_sample_prefix(spark, d):
-    """Leading elements of a document up to and with the one that crosses a running length."""
+    """Leading elements of a document up to and with the one that crosses 1,200 characters; lang_sample_whole has the reference's 12,000."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     e = _elements(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
     return e.where("before < 1200").select("doc_id", "idx", F.length("text").cast("bigint").alias("n"))
 
 
+@query(f"""WITH {_LINES}, r AS (SELECT doc_id, idx, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, idx, n::BIGINT AS n FROM r WHERE before < 12000""")
+def lang_sample_whole(spark, d):
+    """Leading elements of a document up to and with the one that crosses 12,000 characters."""
+    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    e = _elements(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    return e.where("before < 12000").select("doc_id", "idx", F.length("text").cast("bigint").alias("n"))
+
+
 def _in(lang):
     return "len(list_filter(t, lambda x: x IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS[lang]) + ")))"
 

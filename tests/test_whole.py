@@ -63,3 +63,10 @@ def test_evidence_all(spark, tmp_path):
     want = {k: evidence([r[1:] for r in rows if r[0] == k]) for k in "abcdef"}
     assert {r.doc: r.evidence for r in QUERIES["evidence_all"](spark, d).collect()} == want
     assert want["b"] == "t | u | v | w | x | y" and want["c"] == "only" and want["d"] is None and want["a"].startswith("SQL now | Java | uses a | b | docker | sql | Head two")
+
+
+def test_lang_sample_whole(spark, tmp_path):
+    lengths = [1000, 300, 5000, 5699, 1, 7, 9]
+    d = written(spark, tmp_path, documents=([(1, "\n".join("x" * n for n in lengths)), (2, None), (3, " ")], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.idx, r.n) for r in QUERIES["lang_sample_whole"](spark, d).collect())
+    assert got == [(1, k, n) for k, n in enumerate(lengths[:5])] and sum(lengths[:5]) == 12000
