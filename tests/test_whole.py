@@ -70,3 +70,9 @@ def test_lang_sample_whole(spark, tmp_path):
     d = written(spark, tmp_path, documents=([(1, "\n".join("x" * n for n in lengths)), (2, None), (3, " ")], "doc_id long, text string"))
     got = sorted((r.doc_id, r.idx, r.n) for r in QUERIES["lang_sample_whole"](spark, d).collect())
     assert got == [(1, k, n) for k, n in enumerate(lengths[:5])] and sum(lengths[:5]) == 12000
+
+
+def test_clean_text_keeps_spaced_abbreviations(spark, tmp_path):
+    texts = ["Rossi S . R . L  di V . Monti", "plain", "A . B . C", None]
+    d = written(spark, tmp_path, hits=([*enumerate(texts)], "hit_id long, content string"))
+    assert {r.hit_id: r.cleaned for r in QUERIES["clean_text"](spark, d).collect()} == {0: "Rossi S.R.L di V . Monti", 1: "plain", 2: "A.B.C"}
