@@ -18,13 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; outside a cluster (tests) a folder of our own."""
+    """The shared folder that the session names; without one the operators that write tables refuse to run."""
     path = spark.conf.get("spark.checkpoint.dir", None) or _hadoop_dir(spark)
     if not path:
-        import tempfile
-
-        path = tempfile.mkdtemp(prefix="cvloom-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return path
 
 
@@ -33,15 +30,6 @@ def _hadoop_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage."""
-    spark = df.sparkSession
-    folder = work_dir(spark)
-    if _hadoop_dir(spark) is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again; survives lost executors and is columnar."""
     spark = df.sparkSession
@@ -76,7 +64,7 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(least) if parts < max(2, least // 2) else df
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (src, dst) as rows (id, component); component is the least id.
 
     Alternates large-star and small-star, each a group-by of links by vertex in which a vertex sends its neighbours to
@@ -87,7 +75,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null and u <> v")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:  # every round shortens the paths; the links stay as they are once each leads to the least of its component
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -109,6 +109,40 @@ def test_richer_profiles_match_again(spark):
     assert got["Gregory Mopechoda"] == got["Gregory Mopechdoa"] == got["G. Mopechoda"] != got["Chiara Mopechoda"] and "NGA" not in got
 
 
+def entities(spark, names):
+    return {r.name: r.entity for r in p3_names.resolve(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+
+
+def test_given_names_of_one_letter_and_surname_stay_apart(spark):
+    got = entities(spark, ["Marco Rossi", "Maria Rossi", "Mario Rossi", "Luisa Verdi", "Luigi Verdi", "Rossi, Marco", "M. Rossi", "L. Bianchi", "Luisa Bianchi"])
+    assert len({got[f"{n} Rossi"] for n in ("Marco", "Maria", "Mario")}) == 3 and got["Luisa Verdi"] != got["Luigi Verdi"]
+    assert got["Rossi, Marco"] == got["Marco Rossi"] == got["M. Rossi"] and got["L. Bianchi"] == got["Luisa Bianchi"]
+
+
+def test_names_that_accept_two_errors_meet(spark):
+    """Two letters apart, one in each half, with other given-name forms."""
+    got = entities(spark, ["Robert Bartholomewson", "Bob Barsholomewton", "Bob Barsholomewten"])
+    assert got["Robert Bartholomewson"] == got["Bob Barsholomewton"]
+    words = ["sebugligu", "bartholomewson", "rossini", "abcdefg"]
+    rng = random.Random(2)
+    for _ in range(400):
+        a = rng.choice(words)
+        b = list(a)
+        for _ in range(2):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [rng.choice("aeiobst")], [b[at], rng.choice("aeiobst")]])
+        b = "".join(b)
+        assert not p3_names.near(a, b) or p3_names.shorter(a) & p3_names.shorter(b)
+
+
+def test_long_chains_of_spellings_end_in_one_entity(spark):
+    """Each text meets the next one only; a fixed number of rounds would leave parts."""
+    letters = "abcdefghijklmnopqrstuvwx"
+    chain = ["Agata " + "".join(letters[k : k + 12]).capitalize() for k in range(10)]
+    got = entities(spark, chain)
+    assert len({*got.values()}) == 1
+
+
 # Problem 4
 def test_empty_and_copied():
     assert all(map(p4_pairs.empty, [None, "", " \n", "[]", "null", "```\n```", "​", "N/A", "...", "Match coerenti:\n- \n"]))
