@@ -158,6 +158,43 @@ def test_refusals():
     assert not any(map(says, ["Non posso confermare la disponibilità di GCF, ma posso verificarla.", "No candidate meets every constraint: shall I search again?", "I cannot confirm when TAT is free."]))
 
 
+def test_refusals_in_words_that_no_seed_has():
+    seeds = [f"Mi dispiace, non posso {v} con questa richiesta di {n}." for v in ("aiutarti", "procedere", "aiutarla") for n in ("dati", "nomi", "profili", "contatti")]
+    other = [f"Ho trovato {n} profili di {r} a Roma." for n in range(2, 9) for r in ("Java Developer", "Data Analyst", "UX Designer")] + [f"Non posso confermare la disponibilità di {n}, ma posso verificarla." for n in ("ABC", "DEF", "GHI")]
+    counts = {}
+    for text in seeds * 3 + other * 3:
+        for x in p4_pairs.sentences(text):
+            for f in ["", *p4_pairs.word_features(x)]:
+                counts.setdefault(f, [0, 0])[not p4_pairs.REFUSAL.search(x)] += 1
+    model = p4_pairs.Refusals([(f, *c) for f, c in counts.items()])
+    new = "Mi dispiace, questa richiesta di contatti non posso accoglierla, aiutarla con questa richiesta no."
+    assert not p4_pairs.REFUSAL.search(p4_pairs.bare(new)) and model.holds(new)
+    assert not any(map(model.holds, other))
+
+
+def test_edits_are_levenshtein():
+    def plainly(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert p4_pairs.edits(a, b) == plainly(a, b)
+    assert p4_pairs.without_question("Cerco Java.", "Cerco Java.\n" * 9) is None
+
+
+def test_rows_of_one_key_are_judged_each(spark, small):
+    rows = common.table(spark, small, "evaluations").select("eval_id", "query", "response")
+    once = sorted((r.eval_id, r.defect) for r in p4_pairs.judged(rows.unionByName(rows)).where("defect is not null").collect())
+    one = p4_pairs.judged(rows.unionByName(rows).withColumn("eval_id", F.lit(1).cast("bigint"))).where("defect is not null")
+    assert one.count() == len(once) and {d for _, d in once} == {r.defect for r in one.collect()}
+
+
 # Problem 5
 def test_language_of_held_out_texts(spark, small):
     """Models fitted on one part of the texts name the languages of the rest."""
