@@ -18,14 +18,14 @@ ENTRIES = [(1, "Java Developer", ["Sviluppatore Java"]), (2, "Data Engineer", ["
 
 @pytest.mark.parametrize("typed,meant", [("java developer ", 1), ("Senior Java Devloper", 1), ("Developer, Java", 1), ("Sviluppatroe Java (freelance)", 1), ("Data Eng.", 2), ("ingegnere dei dati - consulente", 2), ("Business Anl.", 3), ("Bagnino", -1), ("n.d.", -1), ("", -1), ("   ", -1), ("x" * 5000, -1)])
 def test_roles(typed, meant):
-    assert p1_canonical.Dictionary("role", ENTRIES, {}).find(typed)[1] == meant
+    assert p1_canonical.Dictionary("role", ENTRIES, {}).find(typed)[3] == meant
 
 
 def test_places_and_skills():
     places = p1_canonical.Dictionary("location", [(7, "Milano", ["Milan"]), (8, "Roma", ["Rome", "RM"])], {})
-    assert [places.find(x)[1] for x in ("zona Milano", "(MI)", "prov. RM", "Mialno e dintorni", "Rome - ibrido", "N/A", "Honolulu")] == [7, 7, 8, 7, 8, -1, -1]
+    assert [places.find(x)[3] for x in ("zona Milano", "(MI)", "prov. RM", "Mialno e dintorni", "Rome - ibrido", "N/A", "Honolulu")] == [7, 7, 8, 7, 8, -1, -1]
     skills = p1_canonical.Dictionary("skill", [(9, "c#", ["csharp"]), (10, "node.js", ["nodejs"]), (11, "openshift", ["open shift"])], {})
-    assert [skills.find(x)[1] for x in ("C# (base)", "conoscenza nodejs", "node.js 9.4", "opensfht", "uncinetto")] == [9, 10, 10, 11, -1]
+    assert [skills.find(x)[3] for x in ("C# (base)", "conoscenza nodejs", "node.js 9.4", "opensfht", "uncinetto")] == [9, 10, 10, 11, -1]
 
 
 def test_distance_is_a_true_damerau_distance():
@@ -37,8 +37,27 @@ def test_several_dictionaries_give_the_same(spark, small, monkeypatch):
     hits, canon = common.table(spark, small, "hits"), common.table(spark, small, "canonical_values")
     whole = {tuple(r) for r in p1_canonical.found(hits, canon).collect()}
     monkeypatch.setattr(p1_canonical, "BLOCK", 60)
-    parts = {tuple(r) for r in p1_canonical.found(hits, canon).collect()}
-    assert len(whole ^ parts) <= 0.01 * len(whole)  # ties may fall to another entry without the counts
+    assert {tuple(r) for r in p1_canonical.found(hits, canon).collect()} == whole
+
+
+def test_words_in_any_order_and_many_short_forms():
+    long = [(1, "Senior Platform Reliability Data Systems Engineer", []), (2, "Data Platform Manager", ["Data Platform Mgr"])]
+    find = lambda t: p1_canonical.Dictionary("role", long, {}).find(t)[3]
+    assert find("Engineer Systems Data Reliability Platform Senior") == 1 and find("Enginer, Sistems Data Reliability Platform Senior") == 1
+    assert find("Sen. Plat. Rel. Data Sys. Eng.") == 1 and find("Mgr Data Platform") == 2 and find("Data Data Platform Manager") == -1
+
+
+def test_other_names_are_a_parameter():
+    values = [(1, "Milano", [])]
+    assert p1_canonical.Dictionary("location", values, {}, {"meneghina": "Milano"}).find("Meneghina")[3] == 1
+    assert p1_canonical.Dictionary("location", values, {}, {}).find("MI")[3] == -1
+
+
+def test_frequency_decides_between_equal_distances(spark):
+    schema = "hit_id bigint, role string, location string, skills array<string>"
+    hits = spark.createDataFrame([(k, "data analyst b", None, None) for k in range(9)] + [(20, "data analyst c", None, None), (21, "data analyst p", None, None)], schema)
+    canon = spark.createDataFrame([(1, "role", "data analyst c", None), (2, "role", "data analyst b", None)], "canon_id int, field string, value string, aliases array<string>")
+    assert {r.hit_id: r.canon_id for r in p1_canonical.found(hits, canon).collect()} == {21: 2}
 
 
 # Problem 2
