@@ -3,10 +3,12 @@
 A language is a unigram model over the pieces of a fixed public vocabulary. A word's probability is the sum over all its
 segmentations, by the forward algorithm; a paragraph's is the product over its words. The piece probabilities are fitted
 by expectation-maximisation on the word counts of the corpus. Paragraphs enter the counts under the language that their
-function words name clearly.
+function words name clearly, those without such words (headings, tables of data) under the language of their label, which is
+right more often than not.
 
-Words with a capital that the counts do not know are taken for names and left out where enough other words remain. Null and
-blank contents have no language; repeated rows are kept.
+Words that all languages use alike are names, tools and towns: they say nothing and are left out, and so are addresses of
+mail. Words with a capital that the counts do not know are left out where enough other words remain. Null and blank contents
+have no language; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -29,11 +31,17 @@ LANGS = ("it", "en", "es", "fr", "de")
 FIT_WORDS, ROUNDS = 2500, 3
 #: Words below which a content's label is not judged.
 LEAST_WORDS = 8
+#: Perplexity of the languages of a word from which it says nothing, and how often it must be seen for that.
+COMMON, COMMON_LEAST = 3.2, 20
+#: Entries that a task counts before it hands them on.
+HELD = 400_000
 #: Words remembered by a worker.
 MEMORY = 400_000
 #: Advantage in nats of a content's main language in a paragraph of it.
 STAY = 1.5
 WORD = re.compile(r"[^\W_]+")
+MAIL = re.compile(r"(?<!\S)[^\s@]*\s?(?:@|[(\[]\s?(?:at|chiocciola)\s?[)\]])\s?\S+", re.I)
+AT_SIGNS = re.compile(r"@|[(\[]\s?(?:at|chiocciola)\s?[)\]]", re.I)
 # Function words that name a language.
 FUNCTION_WORDS = {
     "it": "il lo gli di del della dei delle che per con nel nella sul sulla una sono è ha ho anche più dal al alla questo presso dove usando".split(),
@@ -60,6 +68,10 @@ def label_language(label: str | None) -> str | None:
     return BY_LABEL.get(text) or BY_LABEL.get(re.split(r"[-_ (/]", text)[0])
 
 
+def without_mail(text: str) -> str:
+    return MAIL.sub(" ", text) if AT_SIGNS.search(text) else text
+
+
 def paragraphs(text: str | None) -> list[str]:
     return [p for p in re.split(r"\n[ \t\r]*\n", text) if p.strip()] if text else []
 
@@ -76,20 +88,32 @@ def seed_language(words: list[str]) -> int | None:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, n over all paragraphs with a clear language; counted in each partition first."""
+    """lang, word, n over all paragraphs (t, and l: the label if there is one); counted in each task first.
+
+    A paragraph counts under the language that its function words name, else under that of the label.
+    """
+    labelled = "l" in texts.columns
 
     def count(batches):
         total = [Counter() for _ in LANGS]
+
+        def rows():
+            for k, c in enumerate(total):
+                yield pd.DataFrame([(LANGS[k], w, n) for w, n in c.items()], columns=["lang", "word", "n"])
+                c.clear()
+
         for part in batches:
-            for text in part["t"]:
+            for text, label in zip(part["t"], part["l"] if labelled else [None] * len(part)):
+                own = label_language(label)
                 for p in paragraphs(text):
-                    found = WORD.findall(p.lower())
+                    found = WORD.findall(without_mail(p.lower()))
                     k = seed_language(found)
+                    k = LANGS.index(own) if k is None and own else k
                     if k is not None:
                         total[k].update(found)
-        for k, c in enumerate(total):
-            rows = [(LANGS[k], w, n) for w, n in c.items() if n > 1]
-            yield pd.DataFrame(rows, columns=["lang", "word", "n"])
+            if sum(map(len, total)) > HELD:
+                yield from rows()
+        yield from rows()
 
     return texts.mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -104,10 +128,16 @@ def vocabulary(folder: str) -> dict[str, int]:
     return {p: k for k, p in enumerate(n for n in names if n == n.lower())}
 
 
-def spans(word: str, pieces: dict[str, int], longest: int = 12) -> tuple[int, list[tuple[int, int, int]]]:
+@lru_cache(maxsize=8)
+def longest_piece(folder: str) -> int:
+    return max(map(len, vocabulary(folder)))
+
+
+def spans(word: str, pieces: dict[str, int], longest: int | None = None) -> tuple[int, list[tuple[int, int, int]]]:
     """Length of the marked word and its pieces as (start, end, piece); -1 stands for a character outside the vocabulary."""
     text = "▁" + word
     n = len(text)
+    longest = longest or max(map(len, pieces), default=1)
     found = []
     for i in range(n):
         any_one = False
@@ -133,37 +163,84 @@ def forward(n: int, found, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(n: int, found, p: np.ndarray) -> np.ndarray:
+    """Logarithm of the word's probability in each language; in logarithms all the way, for words of any length."""
+    logs = np.log(p)
+    alpha = np.full((n + 1, p.shape[1]), -np.inf)
+    alpha[0] = 0
+    for i, j, k in found:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + (logs[k] if k >= 0 else math.log(FLOOR)))
+    return alpha[n]
+
+
+class Lattice:
+    """The segmentations of many words at once: spans grouped by their place, each group one step of the forward algorithm."""
+
+    def __init__(self, words: list[str], pieces: dict[str, int]):
+        longest = max(map(len, pieces), default=1)
+        cut = [spans(w, pieces, longest) for w in words]
+        self.ends = np.array([n for n, _ in cut], int)
+        each = np.array([(i, j, w, k) for w, (_, found) in enumerate(cut) for i, j, k in found], int).reshape(-1, 4)
+        each = each[np.lexsort((each[:, 1], each[:, 0]))]
+        place = each[:, 0] * (self.ends.max(initial=0) + 1) + each[:, 1]
+        self.groups = np.split(np.arange(len(each)), np.flatnonzero(np.diff(place)) + 1) if len(each) else []
+        self.i, self.j, self.w, self.k = each.T
+
+    def values(self, p: np.ndarray) -> np.ndarray:
+        return np.where(self.k[:, None] >= 0, p[self.k], FLOOR)
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        alpha, v = np.zeros((len(self.ends), self.ends.max(initial=0) + 1, p.shape[1])), self.values(p)
+        alpha[:, 0] = 1
+        for g in self.groups:
+            alpha[self.w[g], self.j[g]] += alpha[self.w[g], self.i[g]] * v[g]
+        return alpha
+
+    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces, given the counts of the words by language."""
+        alpha, v = self.forward(p), self.values(p)
+        every = np.arange(len(self.ends))
+        beta = np.zeros_like(alpha)
+        beta[every, self.ends] = 1
+        for g in reversed(self.groups):
+            beta[self.w[g], self.i[g]] += beta[self.w[g], self.j[g]] * v[g]
+        scale = counts / np.maximum(alpha[every, self.ends], 1e-300)
+        known = self.k >= 0
+        w, k = self.w[known], self.k[known]
+        got = scale[w] * alpha[w, self.i[known]] * v[known] * beta[w, self.j[known]]
+        return np.stack([np.bincount(k, c, len(p)) for c in got.T], axis=1)
+
+
 def fit(counts: dict[str, np.ndarray], pieces: dict[str, int]) -> np.ndarray:
     """Piece probabilities of each language by EM on word counts (word to counts by language)."""
-    size = len(pieces)
-    cut = {w: spans(w, pieces) for w in counts}
-    p = np.full((size, len(LANGS)), 1e-3)
-    for w, c in counts.items():
-        for i, j, k in cut[w][1]:
-            if k >= 0:
-                p[k] += c * (j - i) ** 2 / len(w)
+    size, words = len(pieces), [w for w in counts if len(w) < PLAIN]
+    lattice, number = Lattice(words, pieces), np.array([counts[w] for w in words]).reshape(-1, len(LANGS))
+    known = lattice.k >= 0
+    w, k = lattice.w[known], lattice.k[known]
+    first = number[w] * ((lattice.j - lattice.i)[known] ** 2 / (lattice.ends[w] - 1))[:, None]
+    p = 1e-3 + np.stack([np.bincount(k, c, size) for c in first.T], axis=1)
     p /= p.sum(axis=0)
     for _ in range(ROUNDS):
-        got = np.zeros_like(p)
-        for w, c in counts.items():
-            n, found = cut[w]
-            alpha = forward(n, found, p)
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            for i, j, k in reversed(found):
-                beta[i] += beta[j] * (p[k] if k >= 0 else FLOOR)
-            scale = c / np.maximum(alpha[n], 1e-300)
-            for i, j, k in found:
-                if k >= 0:
-                    got[k] += scale * alpha[i] * p[k] * beta[j]
+        got = lattice.expected(p, number)
         got /= np.maximum(got.sum(axis=0), 1e-9)
         p = 0.97 * got + 0.02 * got.mean(axis=1, keepdims=True) + 0.01 / size
     return p
 
 
+#: Letters from which a word's probability is summed in logarithms.
+PLAIN = 32
+
+
+def word_scores(w: str, p: np.ndarray, pieces: dict[str, int], longest: int) -> tuple:
+    n, found = spans(w, pieces, longest)
+    return tuple((np.log(np.maximum(forward(n, found, p)[n], 1e-300)) if n <= PLAIN else log_forward(n, found, p)).tolist())
+
+
 class Model:
-    def __init__(self, p: np.ndarray, known: dict[str, tuple], folder: str):
-        self.p, self.known, self.pieces = p, known, vocabulary(folder)
+    """known: scores of the fitted words; None for a word that all languages use alike."""
+
+    def __init__(self, p: np.ndarray, known: dict[str, tuple | None], folder: str):
+        self.p, self.known, self.pieces, self.longest = p, known, vocabulary(folder), longest_piece(folder)
         self.memory: dict[str, tuple] = {}
 
     def word(self, w: str) -> tuple:
@@ -171,34 +248,40 @@ class Model:
         if got is None:
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            n, found = spans(w[:40], self.pieces)
-            got = self.memory[w] = tuple(np.log(np.maximum(forward(n, found, self.p)[n], 1e-300)).tolist())
+            got = self.memory[w] = word_scores(w, self.p, self.pieces, self.longest)
         return got
 
     def paragraph(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the log-likelihood of each language."""
         written = WORD.findall(text)
-        known, others, capitals, memory = self.known, [], [], self.memory
-        rows = []
-        for x in written:
+        n, shown = len(written), without_mail(text)
+        known, others, memory = self.known, [], self.memory
+        rows, sizes = [], []
+        for x in written if shown is text else WORD.findall(shown):
             w = x.lower()
-            got = known.get(w)
-            if got is not None:
-                rows.append(got)
+            if w in known:
+                got = known[w]
+                if got is None:
+                    continue
             elif w.isalpha() and len(w) > 1:
-                if x[0] == w[0]:
-                    got = memory.get(w)
-                    rows.append(got if got is not None else self.word(w))
-                else:
-                    capitals.append(w)
+                if x[0] != w[0]:
+                    others.append(w)
+                    continue
+                got = memory.get(w)
+                got = self.word(w) if got is None else got
+            else:
+                continue
+            rows.append(got)
+            sizes.append(len(w))
         if len(rows) < 4:
-            rows += [self.word(w) for w in capitals]
+            rows += [self.word(w) for w in others]
+            sizes += map(len, others)
         if not rows:
-            return len(written), np.zeros(len(LANGS))
+            return n, np.zeros(len(LANGS))
         a = np.array(rows)
-        # A single word cannot outweigh the rest: its advantage over the mean is bounded.
+        # A single word cannot outweigh the rest: its advantage is bounded, in a run of letters by its length.
         a -= a.max(axis=1, keepdims=True)
-        return len(written), np.maximum(a, -6.0).sum(axis=0)
+        return n, np.maximum(a, np.minimum(-6.0, np.array(sizes) / -3.0)[:, None]).sum(axis=0)
 
     def content(self, text: str | None) -> list[tuple[int, str, float, int]]:
         """(seg_no, lang, confidence, words): 0 for the whole, then each paragraph if they are not all in one language."""
@@ -227,31 +310,40 @@ class Model:
 
 
 def trained(texts: DataFrame, folder: str = TOKENIZERS):
-    """(piece probabilities, scores of the fitted words) from a table with the column t."""
+    """(piece probabilities, scores of the fitted words) from a table with the columns t and, if there are labels, l."""
     counts = common.saved(word_counts(texts).where("n > 2"), "language-words")
     top = None
     for lang in LANGS:
         part = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(FIT_WORDS)
         top = part if top is None else top.unionByName(part)
     words = top.select("word").distinct()
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # five
+    size = np.array([max(1, totals.get(lang, 0)) for lang in LANGS], float)
     table: dict[str, np.ndarray] = {}
     for r in counts.join(F.broadcast(words), "word", "left_semi").collect():  # at most FIT_WORDS words a language
         table.setdefault(r.word, np.zeros(len(LANGS)))[LANGS.index(r.lang)] = r.n
     if not table:
         table = {w: np.array([10.0 * (w in FUNCTION_WORDS[lang]) for lang in LANGS]) for w in SEEDS}
-    totals = np.maximum(sum(table.values()), 1)
-    table = {w: c * (1e6 / totals) for w, c in table.items()}  # languages weigh alike
-    pieces = vocabulary(folder)
-    p = fit(table, pieces)
-    known = {w: tuple(np.log(np.maximum(forward(*spans(w, pieces), p)[-1], 1e-300)).tolist()) for w in table}
-    return p, known
+    same = {w for w, c in table.items() if w not in SEEDS and c.sum() >= COMMON_LEAST and common_to_all(c / size)}
+    own = {w: c for w, c in table.items() if w not in same}
+    totals = np.maximum(sum(own.values()), 1)
+    own = {w: c * (1e6 / totals) for w, c in own.items()}  # languages weigh alike
+    pieces, longest = vocabulary(folder), longest_piece(folder)
+    p = fit(own, pieces)
+    return p, {w: word_scores(w, p, pieces, longest) for w in own} | dict.fromkeys(same)
+
+
+def common_to_all(share: np.ndarray) -> bool:
+    """Whether a word is spread over the languages, by the perplexity of its shares."""
+    share = share / share.sum()
+    return bool(np.exp(-(share * np.log(np.maximum(share, 1e-12))).sum()) > COMMON)
 
 
 def languages(hits: DataFrame, key: str = "hit_id", text: str = "content", label: str | None = "language", folder: str = TOKENIZERS) -> DataFrame:
     """key, seg_no, lang, confidence, words, label_lang (language the label names, null if none)."""
     columns = [F.col(key).alias("k"), F.col(text).alias("t"), (F.col(label) if label else F.lit(None).cast("string")).alias("l")]
     rows = common.spread(hits.select(*columns))
-    model = hits.sparkSession.sparkContext.broadcast(trained(rows.select("t"), folder))
+    model = hits.sparkSession.sparkContext.broadcast(trained(rows.select("t", "l"), folder))
 
     def run(batches):
         m = Model(*model.value, folder)

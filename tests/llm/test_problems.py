@@ -236,6 +236,37 @@ def test_forward_sums_all_segmentations():
     assert abs(got - (0.2 * 0.3 + 0.1 + 0.25 * 0.15 * 0.3)) < 1e-12
 
 
+def test_long_words_are_scored_whole():
+    pieces = p5_language.vocabulary(p5_language.TOKENIZERS)
+    p = p5_language.fit({"lavoro": np.array([9.0, 0, 0, 0, 0]), "work": np.array([0, 9.0, 0, 0, 0])}, pieces)
+    longest = p5_language.longest_piece(p5_language.TOKENIZERS)
+    for w in ("lavoro", "lavoroworkwork" * 2):
+        got = p5_language.word_scores(w, p, pieces, longest)
+        assert np.allclose(got, p5_language.log_forward(*p5_language.spans(w, pieces), p))
+    a, b = (p5_language.word_scores("x" * 60 + w * 40, p, pieces, longest) for w in ("lavoro", "work"))
+    assert a[0] > a[1] and b[1] > b[0]
+
+
+def test_lattice_equals_the_forward_algorithm():
+    pieces = {"▁a": 0, "b": 1, "▁ab": 2, "▁": 3, "a": 4}
+    p = np.array([[0.2, 0.1], [0.3, 0.1], [0.1, 0.4], [0.25, 0.2], [0.15, 0.2]])
+    words = ["ab", "a", "bxa", "aab"]
+    lattice = p5_language.Lattice(words, pieces)
+    for row, end, w in zip(lattice.forward(p), lattice.ends, words):
+        assert np.allclose(row[end], p5_language.forward(*p5_language.spans(w, pieces), p)[-1])
+
+
+def test_model_does_not_depend_on_partitions(spark, small):
+    rows = common.table(spark, small, "hits").where("content is not null").select(F.col("content").alias("t"), F.col("language").alias("l"))
+    one, many = ({(r.lang, r.word): r.n for r in p5_language.word_counts(rows.repartition(k)).collect()} for k in (1, 40))
+    assert one == many
+
+
+def test_names_and_towns_do_not_change_a_language():
+    assert p5_language.common_to_all(np.array([0.2, 0.25, 0.15, 0.2, 0.2])) and not p5_language.common_to_all(np.array([0.5, 0.45, 0.01, 0.02, 0.02]))
+    assert p5_language.without_mail("Name a.b@c.test x.y (at) z.test (end)").split() == ["Name", "(end)"]
+
+
 def test_labels():
     assert [p5_language.label_language(x) for x in ("it-IT", "Italiano", "ENG", "tedesco", "-", None, "und", "Français")] == ["it", "it", "en", "de", None, None, None, "fr"]
 
