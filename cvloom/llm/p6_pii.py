@@ -3,7 +3,7 @@
 Generators with high recall propose overlapping spans: e-mail addresses however written, telephone and identity numbers,
 street addresses and names. Boosted trees judge each span by its format and by the words around it, trained on a bounded
 sample of spans whose context leaves no doubt (a label such as "Tel." or "Order no." right before). Scores are calibrated
-on a held-out part; of overlapping spans over the threshold the best ones remain.
+on a held-out part, on which each type's threshold is fitted too; of overlapping spans over it the best ones remain.
 
 Null and blank texts give nothing; repeated rows are found each, equal spans of a row once.
 """
@@ -24,8 +24,15 @@ from .boosting import Trees
 from .p3_names import LEGAL, PARTICLES, TRADES, fold, given_names, letters
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-#: Contents in the training sample at most (a sixth of it for each other column), and the threshold on the calibrated probability.
-SAMPLE_TEXTS, THRESHOLD = 5_000, 0.5
+#: Contents in the training sample at most (a sixth of it for each other column).
+SAMPLE_TEXTS = 5_000
+#: Threshold on the calibrated probability of a type with fewer held-out spans of either class than the second number, and
+#: the bounds within which it is fitted otherwise.
+THRESHOLD, HELD_OUT, BOUNDS = 0.5, 20, (0.2, 0.8)
+#: What makes a thing like an address of mail a path, a version or a package.
+NO_MAIL_BEFORE, NO_MAIL_AFTER, NO_MAIL = re.compile(r"(?:[/=]|git |npm |pip |clone )$"), re.compile(r"[:/]\S"), re.compile(r"@v?\d|\.\d+$", re.I)
+#: A course and its year, not a street and its number; and what only an address has after the number.
+COURSE, AT_HOME = re.compile(r"(?:corso|strada|largo|place) .*\b(?:19|20)\d\d$", re.I), re.compile(r"\d\D+\d{5}|\d(?:\s?/?[A-Za-z])?\s*(?:,|-|–)\s+[A-ZÀ-Ý]")
 # Words around a span, by what they speak for.
 NEAR_WORDS = {
     "contact": "tel telefono telefon téléphone teléfono phone cell cellulare mobile mobil portable chiamare call appeler llamar anrufen numero casa fisso whatsapp fax recapiti contacts oder contatti referenze",
@@ -314,6 +321,8 @@ def clear_label(text: str, kind: str, a: int, b: int, pattern: int, given: froze
     cls = CLASS.get(last, 0)
     is_ = lambda name: cls >> list(NEAR_WORDS).index(name) & 1
     if kind == "email":
+        if NO_MAIL.search(s) or NO_MAIL_BEFORE.search(left) or NO_MAIL_AFTER.match(text[b : b + 2]):
+            return 0
         return 1 if re.search(r"@|chiocciola|[(\[]at", s, re.I) and re.search(r"\.\w{2,}$|punto|dot", s, re.I) else None
     if re.fullmatch(r"(?:19|20)\d\d[-/](?:19|20)\d\d|\d\d[./-]\d\d[./-]\d{4}|\d{4}[./-]\d\d[./-]\d\d|(?:19|20)\d\d-\d{6}-\d\d|\d{4}\.\d{4}|\d{1,2}\.\d{1,2}\.\d{1,3}", s):
         return 0
@@ -336,7 +345,9 @@ def clear_label(text: str, kind: str, a: int, b: int, pattern: int, given: froze
             return 1
         return None
     if kind == "address":
-        return 1
+        if COURSE.match(s) or (is_("thing") or is_("order")) and not AT_HOME.search(s):
+            return 0
+        return 1 if AT_HOME.search(s) or is_("home") or GERMAN.search(s) or re.match(r"(?:via|viale|v\.le|piazza|rue|calle|c/|\d)", s, re.I) else None
     if is_("thing") and not any(fold(w) in given for w in re.split(r"[\s,_]+", s)):
         return 0
     if re.search(r"(?:progett|project|proyect|projet|projekt|sede|site|modul|laborator|fornitor|vendor|schema|bando|reparto)\w* (?:di |de )?$", left):
@@ -347,8 +358,21 @@ def clear_label(text: str, kind: str, a: int, b: int, pattern: int, given: froze
     return 1 if first in given and len(s.split()) > 1 else None
 
 
+def thresholds(kinds: np.ndarray, p: np.ndarray, y: np.ndarray) -> dict[str, float]:
+    """For each type the threshold with the best F-measure on held-out spans, nearest to the default one."""
+    found = {}
+    for k, kind in enumerate(TYPES):
+        own, truth = p[kinds == k], y[kinds == k] > 0
+        found[kind] = THRESHOLD
+        if min(truth.sum(), (~truth).sum()) >= HELD_OUT:
+            steps = np.linspace(*BOUNDS, 61)
+            f = [2 * (truth & (own >= t)).sum() / max(1, truth.sum() + (own >= t).sum()) for t in steps]
+            found[kind] = float(min(steps[np.array(f) >= max(f) - 1e-12], key=lambda t: abs(t - THRESHOLD)))
+    return found
+
+
 def trained(texts: list[tuple[str, bool]], given: frozenset) -> Trees:
-    """Trees fitted on the spans of clear context in four fifths of the texts and calibrated on the rest."""
+    """Trees fitted on the spans of clear context in four fifths of the texts, calibrated and given thresholds on the rest."""
     rows, marks, held = [], [], []
     for k, (text, field) in enumerate(texts):
         for kind, a, b, pattern in candidates(text, given):
@@ -369,6 +393,7 @@ def trained(texts: list[tuple[str, bool]], given: frozenset) -> Trees:
     model = Trees().fit(x[~out], y[~out])
     if out.sum() > 50 and 0 < y[out].mean() < 1:
         model.calibrate(x[out], y[out])
+    model.thresholds = thresholds(x[out][:, 0], model.probability(x[out]), y[out]) if out.any() else dict.fromkeys(TYPES, THRESHOLD)
     return model
 
 
@@ -377,10 +402,10 @@ NO_CASE = re.compile(r"(?:19|20)\d\d[-/](?:19|20)\d\d|\d\d[./-]\d\d[./-]\d{4}|\d
 RANK = {"email": 5, "address": 4, "id_number": 3, "phone": 2, "name": 1}
 
 
-def select(text: str, spans: list[tuple[str, int, int, int]], p: np.ndarray) -> list[tuple[str, int, int]]:
-    """Spans over the threshold without overlaps: the better type, then the longer, then the more likely one first."""
+def select(text: str, spans: list[tuple[str, int, int, int]], p: np.ndarray, least: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
+    """Spans over their type's threshold without overlaps: the better type, then the longer, then the more likely one first."""
     kept: list[tuple[str, int, int]] = []
-    order = sorted((k for k in range(len(spans)) if p[k] >= THRESHOLD), key=lambda k: (-(RANK[spans[k][0]] if spans[k][0] in ("email", "address") else 3), -round(float(p[k]), 2) if spans[k][0] in ("phone", "id_number") else 0, -(spans[k][2] - spans[k][1]), -float(p[k]), spans[k][1]))
+    order = sorted((k for k in range(len(spans)) if p[k] >= (least[spans[k][0]] if least else THRESHOLD)), key=lambda k: (-(RANK[spans[k][0]] if spans[k][0] in ("email", "address") else 3), -round(float(p[k]), 2) if spans[k][0] in ("phone", "id_number") else 0, -(spans[k][2] - spans[k][1]), -float(p[k]), spans[k][1]))
     for k in order:
         kind, a, b, _ = spans[k]
         if kind in ("phone", "id_number") and NO_CASE.fullmatch(text[a:b]):
@@ -402,9 +427,10 @@ def model_for(rows: DataFrame, names: DataFrame) -> tuple[Trees, frozenset]:
     sample: list[tuple[str, bool]] = []
     for r in rows.groupBy("place").count().collect():  # three places
         most = SAMPLE_TEXTS if r.place == "content" else SAMPLE_TEXTS // 6
-        share = min(1.0, 1.3 * most / max(1, r["count"]))
-        drawn = rows.where((F.col("place") == r.place) & (F.pmod(F.xxhash64("place", "row_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)))
-        sample += [(x.text, r.place != "content") for x in drawn.select("text").limit(most).collect()]
+        share = min(1.0, 1.3 * most / max(1, r["count"]) + 0.001)
+        order = F.pmod(F.xxhash64("place", "row_id"), F.lit(1_000_000))
+        drawn = rows.where((F.col("place") == r.place) & (order < math.ceil(share * 1_000_000)))
+        sample += [(x.text, r.place != "content") for x in drawn.select("text", order.alias("o"), "row_id").orderBy("o", "row_id", "text").limit(most).collect()]
     sample.sort()
     return trained(sample, given), given
 
@@ -422,7 +448,7 @@ def scanned(rows: DataFrame, names: DataFrame, redact: bool = False) -> DataFram
             p = model.probability(np.array(x)) if x else np.empty(0)
             out, at = [], 0
             for place, i, t, found in zip(part.place, part.row_id, texts, spans):
-                kept = select(t, found, p[at : at + len(found)])
+                kept = select(t, found, p[at : at + len(found)], model.thresholds)
                 at += len(found)
                 if redact:
                     shown, end = [], 0
@@ -440,7 +466,7 @@ def scanned(rows: DataFrame, names: DataFrame, redact: bool = False) -> DataFram
 def _input(spark, sf_dir: str):
     hits = common.table(spark, sf_dir, "hits")
     raw = common.table(spark, sf_dir, "llm_extraction_raw")
-    return places(common.spread(hits.select("hit_id", "content")), raw.select("raw_id", "email", "phone")), hits.select(F.col("full_name").alias("name"))
+    return places(common.spread(hits.select("hit_id", "content"), 4 * spark.sparkContext.defaultParallelism), raw.select("raw_id", "email", "phone")), hits.select(F.col("full_name").alias("name"))
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

@@ -283,6 +283,31 @@ def test_redaction():
     assert {(k, PII[a:b]) for k, a, b in kept} == {("address", "Via dei Guvuze 34/B"), ("id_number", "MBSBPL19P85Z941B"), ("name", "Giulia Rossi"), ("email", "g.rossi (at) mail.test"), ("phone", "+39 355 011 7522")}
 
 
+def test_negatives_of_mail_and_streets():
+    def label(text, part, kind, pattern):
+        a = text.index(part)
+        return p6_pii.clear_label(text, kind, a, a + len(part), pattern, p3_names.GIVEN, False)
+
+    assert label("pip install tool@1.2.3 now", "tool@1.2.3", "email", 0) == 0 and label("git clone git@host.example:team/x", "git@host.example", "email", 0) == 0
+    assert label("scrivere a g.rossi@mail.test grazie", "g.rossi@mail.test", "email", 0) == 1
+    assert label("Frequentato Corso Java 2019 online", "Corso Java 2019", "address", 1) == 0 and label("abita in Corso Roma 20, 10100 Torino", "Corso Roma 20, 10100 Torino", "address", 1) == 1
+
+
+def test_thresholds_are_fitted_by_type():
+    kinds, rng = np.repeat([0.0, 1.0], 200), np.random.default_rng(1)
+    y = rng.random(400) < 0.5
+    p = np.where(kinds == 0, np.where(y, 0.45, 0.3), np.where(y, 0.9, 0.7))
+    got = p6_pii.thresholds(kinds, p, y.astype(float))
+    assert 0.3 < got["email"] <= 0.45 and 0.7 < got["phone"] <= 0.8 and got["name"] == p6_pii.THRESHOLD
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(p6_pii, "SAMPLE_TEXTS", 60)
+    rows, names = p6_pii._input(spark, small)
+    one, two = (p6_pii.model_for(rows.repartition(n, "text"), names)[0] for n in (1, 7))
+    assert one.trees == two.trees and one.thresholds == two.thresholds
+
+
 def test_boosted_trees_learn_and_are_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
