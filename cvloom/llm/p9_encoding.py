@@ -10,8 +10,8 @@ Null, empty and pure ASCII texts are no cases. A null source is a source of its
 
 from __future__ import annotations
 
-import itertools
 import math
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -42,8 +42,8 @@ LETTERS = "àèéìòùáíóúñüäößçêâôîûÀÈÉÓÜ€“”–"
 WEST = frozenset(map(chr, range(0xA0, 0x100))) | frozenset("œŒšŠžŽŸ" + SIGNS)
 #: Log-probability of a sign in a word that only a misread UTF-8 sequence would hold.
 STRANGE = -6.0
-#: Gain of a word with a lost character.
-LOST_GAIN = 9.0
+#: Fillings of lost characters that are kept after each of them; the likeliest one is always among them.
+FILLINGS = 100
 
 
 @lru_cache(maxsize=None)
@@ -93,34 +93,65 @@ def likelihood(text: str, model: dict) -> float:
     return total
 
 
-def readings(token: str) -> list[tuple[str, str]]:
+def filled(token: str, model: dict) -> list[str]:
+    """The token with its lost characters filled in, one after another by the bigrams on both sides; the likeliest fillings."""
+    ways = [(0.0, "")]
+    for a, c in enumerate(token):
+        if c != "\ufffd":
+            ways = [(s, w + c) for s, w in ways]
+            continue
+        after = token[a + 1 : a + 2]
+        pair = lambda x, y: model.get((x, y), model.get((x, ""), -6.0)) if x and y else 0.0
+        right = {x: pair(x, after) if after != "\ufffd" else 0.0 for x in LETTERS}
+        # What a later lost character adds is the same for equal last letters, so the likeliest filling stays.
+        ways = sorted(((s + pair(w[-1:], x) + right[x], w + x) for s, w in ways for x in LETTERS), reverse=True)[:FILLINGS]
+    return [w for _, w in ways]
+
+
+@lru_cache(maxsize=4096)
+def script(c: str) -> str:
+    """Script of a letter, by its name; "" for anything else."""
+    return unicodedata.name(c, "").split(" ")[0].split("-")[0] if c.isalpha() else ""
+
+
+def readable(text: str) -> bool:
+    """Whether a text can stand in a clean document: western letters and signs, or letters of one other script."""
+    if any(0x7F <= ord(c) < 0xA0 for c in text):
+        return False
+    other = {script(c) for c in text if ord(c) >= KNOWN and c not in SIGNS}
+    if not other:
+        return True
+    own = {script(c) for c in text if c.isalpha() and not c.isascii()}
+    return "" not in other and len(own) == 1 and "LATIN" not in own
+
+
+def readings(token: str, model: dict) -> list[tuple[str, str]]:
     """Chains that can have given the token, with what it was before."""
-    if "�" in token:
-        places = token.count("�")
-        if places <= 2:
-            fills = itertools.product(LETTERS, repeat=places)
-            return [(LOST, "".join(itertools.chain(*itertools.zip_longest(token.split("�"), f, fillvalue="")))) for f in fills]
-        return [(LOST, token.replace("�", c)) for c in "eaéèà"]
-    found, seen = [], set()
+    if "\ufffd" in token:
+        return [(LOST, before) for before in filled(token, model)]
+    found = []
     for name, chain in zip(NAMES, CHAINS):
         before = undo(token, chain)
-        if before is not None and before != token and (before.isascii() or all(ord(c) < KNOWN or c in SIGNS for c in before)) and not any(0x7F <= ord(c) < 0xA0 for c in before):
+        if before is not None and before != token and (readable(before) if chain[0] == "utf-8" else western(before)):
             found.append((name, before))
-            seen.add(before)
     return found
 
 
+def western(text: str) -> bool:
+    return all(ord(c) < KNOWN or c in SIGNS for c in text) and not any(0x7F <= ord(c) < 0xA0 for c in text)
+
+
 def misread(token: str) -> bool:
-    """Whether the word holds UTF-8 sequences of western letters and signs that were read byte by byte.
+    """Whether the word holds UTF-8 sequences of western letters and signs, or of letters of one other script, that were read byte by byte.
 
     Such a word says nothing about clean texts, so the corpus model leaves it out.
     """
-    if "�" in token:
+    if "\ufffd" in token:
         return True
     for chain in CHAINS:
         if chain[0] == "utf-8":
             before = undo(token, chain)
-            if before is not None and before != token and all(c.isascii() or c in WEST for c in before) and not any(0x7F <= ord(c) < 0xA0 for c in before):
+            if before is not None and before != token and (all(c.isascii() or c in WEST for c in before) or not western(before)) and readable(before):
                 return True
     return False
 
@@ -151,7 +182,7 @@ def evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 own = likelihood(token, model.value)
                 if strange:
                     n, own = 0, own + STRANGE * sum(not c.isascii() for c in token)
-                for chain, before in readings(token):
+                for chain, before in readings(token, model.value):
                     after = likelihood(before, model.value) if not before.isascii() else -2.5 * len(before) - 3
                     if chain != LOST and misread(before):
                         after += STRANGE * sum(not c.isascii() for c in before)
@@ -163,12 +194,13 @@ def evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = types.where("not strange").select(F.col("token").alias("before"), F.col("n").alias("n_before"))
     p = lambda n, c: F.log((F.coalesce(n, F.lit(0)) + F.lit(ALPHA) * F.exp(c)) / (total + ALPHA))
     gain = p(F.col("n_before"), F.col("after")) - p(F.col("n"), F.col("own"))
-    best = read_as.join(known, "before", "left").withColumn("gain", F.when(F.col("chain") == LOST, F.lit(LOST_GAIN) + p(F.col("n_before"), F.col("after")) / 100).otherwise(gain))
+    # Joins by word grow with the words of the corpus: they are sorted joins at any size.
+    best = read_as.join(known.hint("merge"), "before", "left").withColumn("gain", gain)
     best = common.saved(best.groupBy("token", "chain").agg(F.max(F.struct("gain", "before")).alias("b")).select("token", "chain", "b.gain", "b.before"), "readings")
     lines = odd.groupBy("doc_id", "source", "line").agg(F.sum("n").alias("odd"))
     helped = best.where("gain > 0").select("token").distinct()
-    near = odd.join(odd.join(helped, "token", "left_semi").select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
-    gains = near.join(best, "token")
+    near = odd.join(odd.join(helped.hint("merge"), "token", "left_semi").select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
+    gains = near.join(best.hint("merge"), "token")
     term = lambda w: F.sum(F.col("n") * F.log(F.lit(w) * F.exp(F.least("gain", F.lit(30.0))) + (1 - w)))
     sums = gains.groupBy("doc_id", "source", "line", "chain").agg(F.sum("n").alias("touched"), *[term(w).alias(f"s{k}") for k, w in enumerate(SHARES)], F.max("gain").alias("most"))
     sums = sums.where("most > 0").join(lines, ["doc_id", "source", "line"])

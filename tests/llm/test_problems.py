@@ -395,6 +395,20 @@ def test_garbled_lines_are_found_and_restored(spark):
     assert set(got) == {*want, 904} and all(got[k] == t for k, t in want.items()) and got[904] is None
 
 
+def test_other_scripts_read_byte_by_byte():
+    for text in ("Привет", "Ελληνικά", "שלום"):
+        garbled = "".join({v: k for k, v in p9_encoding.back("cp1252").items()}[bytes([b])] for b in text.encode())
+        assert (("utf-8>cp1252", text) in p9_encoding.readings(garbled, {})) and p9_encoding.misread(garbled) and not p9_encoding.misread(text)
+    assert not p9_encoding.readable("Приvетé") and p9_encoding.readable("è – é")
+
+
+def test_lost_characters_are_filled_by_their_neighbours():
+    pairs = {(a, b): -1.0 for w in ("così", "perché", "qualità") for a, b in zip(w, w[1:])}
+    for token, want in (("cos\ufffd", "così"), ("perch\ufffd", "perché"), ("cos\ufffdperch\ufffdqualit\ufffd", "cosìperchéqualità")):
+        assert p9_encoding.filled(token, pairs)[0] == want
+    assert len(p9_encoding.filled("\ufffd" * 300, pairs)) == p9_encoding.FILLINGS
+
+
 # Shared
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (12, 11), (20, 20), (5, None)] + [(100 + k, 101 + k) for k in range(40)]
