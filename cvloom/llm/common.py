@@ -38,17 +38,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared_file(spark: SparkSession, data: bytes, name: str) -> str | None:
-    """Path of a file with these bytes that every machine can open, or None if the shared folder is not a file system."""
+def shared_file(spark: SparkSession, data: bytes, name: str, fetch: bool | None = None):
+    """Function that gives, on any machine, the path of a file with these bytes.
+
+    A folder that all machines mount is used as it is. From any other file system (or with fetch) Spark brings the file to
+    every executor.
+    """
     url = urlparse(work_dir(spark))
-    if url.scheme not in ("", "file"):
-        return None
-    folder = os.path.join(url.path, "cvloom-files")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
-    with open(path, "wb") as out:
-        out.write(data)
-    return path
+    own = f"{name}-{uuid.uuid4().hex}"
+    if not fetch and url.scheme in ("", "file"):
+        folder = os.path.join(url.path, "cvloom-files")
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, own)
+        with open(path, "wb") as out:
+            out.write(data)
+        return lambda: path
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark).rstrip('/')}/cvloom-files/{own}")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+    spark.sparkContext.addFile(where.toString())
+
+    def fetched() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(own)
+
+    return fetched
 
 
 def words(col) -> "F.Column":

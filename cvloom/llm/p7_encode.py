@@ -1,7 +1,7 @@
 """Problem 7: the ids of every text by a public byte-level BPE tokenizer.
 
 A minimal acyclic automaton holds the frequent words of the corpus. It is built once on the driver from counts over all
-texts, written to the shared folder and memory-mapped by every worker. A word's number is the sum of the skips on its
+texts, written to the shared folder (or brought to every executor from there) and memory-mapped by every worker. A word's number is the sum of the skips on its
 path, and the number leads to its ids. Words that are not in it are merged exactly.
 
 Null and empty texts give the empty list. Strings that look like special tokens are ordinary text.
@@ -164,9 +164,7 @@ class Lexicon:
         return frozenset(out)
 
 
-def open_lexicon(path: str | None, block: bytes | None) -> Lexicon:
-    if path is None:
-        return Lexicon(block)
+def open_lexicon(path: str) -> Lexicon:
     with open(path, "rb") as f:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
@@ -279,17 +277,16 @@ def lexicon_block(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text",
     return build({(w := r.word.encode()): merge(w) for r in frequent})
 
 
-def prepared(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text"):
+def prepared(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text", fetch: bool | None = None):
     """Function without arguments, for workers: it gives the encoder."""
     block = lexicon_block(docs, folder, text)
-    path = common.shared_file(docs.sparkSession, block, "lexicon")
-    sent = None if path else docs.sparkSession.sparkContext.broadcast(block)  # bounded by LEXICON_WORDS
-    return lambda: encoder(open_lexicon(path, sent and sent.value), merger(folder))
+    path = common.shared_file(docs.sparkSession, block, "lexicon", fetch)
+    return lambda: encoder(open_lexicon(path()), merger(folder))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, fetch: bool | None = None) -> DataFrame:
     """key and ids of every row; null and empty texts give the empty list, repeated rows are kept."""
-    make = prepared(docs, folder, text)
+    make = prepared(docs, folder, text, fetch)
 
     def run(batches):
         encode_text = make()

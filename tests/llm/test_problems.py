@@ -105,6 +105,16 @@ def test_hot_group_of_copies_has_one_representative(spark):
     assert members.where("rep = 0").count() == 300
 
 
+def test_pairs_equal_the_sql(spark, small):
+    import duckdb
+
+    from cvloom.llm import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW hits AS SELECT * FROM '{small}/hits.parquet'")
+    assert {tuple(r) for r in p2_neardup.p2_found(spark, small).collect()} == {*con.execute(oracle_sql()["p2_found"]).fetchall()}
+
+
 # Problem 3
 def same(a, b):
     g = p3_names.GIVEN
@@ -334,8 +344,9 @@ def test_ids_equal_the_library(spark, small):
     own = ["<|endoftext|> è", "  a\n\n b\t c", "東京🙂👩🏽‍💻", "it's we'll I'M", "\ud800" if False else "x" * 3000]
     docs = common.table(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10**9 + k, s) for k, s in enumerate(own)] + [(10**10, None), (10**10 + 1, "")], "doc_id bigint, text string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
+    fetched = {r.doc_id: r.ids for r in p7_encode.encode(docs, fetch=True).collect()}  # as from a file system that is not mounted
     for r in p7_encode.encode(docs).collect():
-        assert r.ids == t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == fetched[r.doc_id] == t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
 
 
 # Problem 8
