@@ -111,14 +111,19 @@ def yaml_scalar(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("''")).when(c.rlike(r"[\s:]"), quoted).otherwise(c)
 
 
+# Forms of an address of mail and of a telephone number, letters of any script.
+MAIL, PHONE = r"(?U)[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}", r"(?U)\+?\d[\d\s().-]{6,}\d"
+
+
 def first_email(c: Column) -> Column:
-    return F.regexp_substr(c, F.lit(r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z]{2,}"))
+    return F.regexp_substr(c, F.lit(MAIL))
 
 
 def first_phone(c: Column) -> Column:
-    return F.regexp_substr(c, F.lit(r"\+?[0-9][0-9\s().-]{6,}[0-9]"))
+    return F.regexp_substr(c, F.lit(PHONE))
 
 
+# How a request states years of experience.
 NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
 YEARS = r"\s*(?:anni?|years?)\b"
 RANGES = [rf"\btra\s+{NUMBER}\s+e\s+{NUMBER}{YEARS}", rf"\b{NUMBER}\s*[-–]\s*{NUMBER}{YEARS}"]
@@ -128,7 +133,7 @@ MOST = [rf"\bmassimo\s+{NUMBER}{YEARS}", rf"\bentro\s+{NUMBER}{YEARS}", rf"\bfin
 
 def _found(c: Column, pattern: str, group: int) -> Column:
     got = F.regexp_extract(c, pattern, group)
-    return F.expr("try_cast(x as double)") if False else F.when(got != "", F.replace(got, F.lit(","), F.lit(".")).try_cast("double"))
+    return F.when(got != "", F.replace(got, F.lit(","), F.lit(".")).try_cast("double"))
 
 
 def experience_bounds(c: Column) -> tuple[Column, Column]:

@@ -11,14 +11,19 @@ LIST_MARK = r"^(?:[•*-]|[0-9]+[.)])\s+"
 NUMBERING = r"^([0-9]+(?:\.[0-9]+){0,4})\s+"
 
 
+def number_depth(t: Column) -> Column:
+    """Parts of a number at the start of a text, six at most; null without one."""
+    number = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)*)", 1)
+    return F.when(number != "", F.least(F.lit(6), F.size(F.split(number, r"\."))))
+
+
 def is_heading(t: Column) -> Column:
     return (t != "") & (F.length(t) <= 120) & ~t.rlike(r"[.;,]$") & ~t.rlike(LIST_MARK)
 
 
 def heading_level(t: Column) -> Column:
     """Depth of a leading number, else 3."""
-    number = F.regexp_extract(t, NUMBERING, 1)
-    return F.when(number == "", 3).otherwise(F.least(F.lit(6), F.size(F.split(number, r"\."))))
+    return F.coalesce(number_depth(t), F.lit(3))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,12 +38,14 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Elements of a plain text: parts between blank lines; a one-line part that looks like one is a heading."""
-    each = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("idx", "t")).select(key, "idx", F.trim(F.regexp_replace("t", r"^\n+|\n+$", "")).alias("t")).where("t <> ''")
+    """Elements of a plain text: parts between blank lines. A part of one line is a heading if it looks like one, else maybe a list item; paragraphs that follow one another are one."""
+    each = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("idx", "t")).select(key, "idx", T.strip(F.col("t")).alias("t")).where("t <> ''")
     t = F.col("t")
-    one = ~t.contains("\n")
-    kind = F.when(t.rlike(LIST_MARK) & one, "list_item").when(one & is_heading(t), "heading").otherwise("paragraph")
-    return each.select(key, "idx", kind.alias("element_type"), t.alias("text"), F.when(kind == "heading", heading_level(t)).alias("level"))
+    one, clean = ~t.contains("\n"), T.clean_text(t)
+    kind = F.when(one & is_heading(clean), "heading").when(one & t.rlike(LIST_MARK), "list_item").otherwise("paragraph")
+    body = F.when(kind == "list_item", T.clean_text(F.regexp_replace(t, LIST_MARK, ""))).otherwise(clean)
+    e = each.select(key, "idx", kind.alias("element_type"), body.alias("text"), F.when(kind == "heading", heading_level(clean)).when(kind == "list_item", 1).alias("level"), (one & t.rlike(r"^[0-9]+[.)]\s")).alias("list_ordered"), F.lit(None).cast("int").alias("page_number"))
+    return joined_paragraphs(e, key)
 
 
 def islands(df: DataFrame, key: list[str], order: str, same: Column, name: str = "island") -> DataFrame:
@@ -48,13 +55,16 @@ def islands(df: DataFrame, key: list[str], order: str, same: Column, name: str =
     return df.withColumn("_s", start).withColumn(name, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def joined_paragraphs(elements: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Neighbouring paragraphs as one; other elements stay as they are."""
+def joined_paragraphs(elements: DataFrame, key: str = "doc_id", between: str = "\n\n") -> DataFrame:
+    """Neighbouring paragraphs of one page as one, with a blank line between; other elements stay as they are, with all their columns."""
     w = Window.partitionBy(key).orderBy("idx")
-    e = elements.withColumn("_p", F.lag("element_type").over(w))
-    e = islands(e, [key], "idx", (F.col("element_type") == "paragraph") & (F.col("_p") == "paragraph")).drop("_p")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x.text), "\n")
-    return e.groupBy(key, "island").agg(F.min("idx").alias("idx"), F.first("element_type").alias("element_type"), text.alias("text"))
+    page = F.col("page_number") if "page_number" in elements.columns else F.lit(0)
+    e = elements.withColumn("_p", F.lag("element_type").over(w)).withColumn("_g", F.lag(page).over(w))
+    e = islands(e, [key], "idx", (F.col("element_type") == "paragraph") & (F.col("_p") == "paragraph") & F.col("_g").eqNullSafe(page)).drop("_p", "_g")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x.text), between)
+    rest = [F.min_by(c, "idx").alias(c) for c in elements.columns if c not in (key, "idx", "text")]
+    joined = F.when((F.min_by("element_type", "idx") == "paragraph") & (F.count("*") > 1), T.clean_text(text)).otherwise(F.min_by("text", "idx"))
+    return e.groupBy(key, "island").agg(F.min("idx").alias("idx"), joined.alias("text"), *rest)
 
 
 def without_ocr_runs(elements: DataFrame, duplicate: Column, key: str = "doc_id", least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import elements as E
+from . import sql as S
 from .registry import query, table
 
 # Stop words by which a document's language is detected.
@@ -15,7 +16,7 @@ _MARK = "^(?:[•*-]|[0-9]+[.)])\\s+"
 _LINES = f"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, trim(unnest(string_split(text, chr(10))), ' ') AS t FROM documents WHERE text IS NOT NULL),
 k AS (SELECT *, CASE WHEN regexp_matches(t, '{_MARK}') THEN 'list_item' WHEN length(t) <= 120 AND NOT regexp_matches(t, '[.;,]$') THEN 'heading' ELSE 'paragraph' END AS element_type FROM l WHERE t <> ''),
 e AS (SELECT doc_id, idx, element_type, CASE WHEN element_type = 'list_item' THEN regexp_replace(t, '{_MARK}', '') ELSE t END AS text,
-CASE WHEN element_type = 'heading' THEN CASE WHEN regexp_extract(t, '^([0-9]+(?:\\.[0-9]+){{0,4}})\\s+', 1) = '' THEN 3 ELSE least(6, len(string_split(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+){{0,4}})\\s+', 1), '.'))) END END AS level,
+CASE WHEN element_type = 'heading' THEN {S.depth('t', '3')} END AS level,
 regexp_matches(t, '^[0-9]+[.)]\\s') AS list_ordered FROM k)"""
 
 
@@ -28,39 +29,24 @@ def line_elements(spark, d):
     return _elements(spark, d)
 
 
-@query("""WITH s AS (SELECT doc_id, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) - 1 AS idx, trim(regexp_replace(unnest(regexp_split_to_array(text, '\\n\\s*\\n')), '^\\n+|\\n+$', '', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
-k AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:[•*-]|[0-9]+[.)])\\s+') AND strpos(t, chr(10)) = 0 THEN 'list_item' WHEN strpos(t, chr(10)) = 0 AND length(t) <= 120 AND NOT regexp_matches(t, '[.;,]$') AND NOT regexp_matches(t, '^(?:[•*-]|[0-9]+[.)])\\s+') THEN 'heading' ELSE 'paragraph' END AS element_type FROM s WHERE t <> '')
-SELECT doc_id, idx, element_type, t AS text, CASE WHEN element_type = 'heading' THEN CASE WHEN regexp_extract(t, '^([0-9]+(?:\\.[0-9]+){0,4})\\s+', 1) = '' THEN 3 ELSE least(6, len(string_split(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+){0,4})\\s+', 1), '.'))) END END AS level FROM k""")
+@query(f"""WITH s AS (SELECT doc_id, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) - 1 AS idx, {S.strip("unnest(regexp_split_to_array(text, '\\n\\s*\\n'))")} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, strpos(t, chr(10)) = 0 AS one, {S.cleaned('t')} AS cl FROM s WHERE t <> ''),
+k AS (SELECT *, CASE WHEN one AND cl <> '' AND length(cl) <= 120 AND NOT regexp_matches(cl, '[.;,]$') AND NOT regexp_matches(cl, '{S.MARK}') THEN 'heading' WHEN one AND regexp_matches(t, '{S.MARK}') THEN 'list_item' ELSE 'paragraph' END AS element_type FROM c),
+e AS (SELECT doc_id, idx, element_type, CASE WHEN element_type = 'list_item' THEN {S.cleaned(f"regexp_replace(t, '{S.MARK}', '')")} ELSE cl END AS text, CASE element_type WHEN 'heading' THEN {S.depth('cl', '3')} WHEN 'list_item' THEN 1 END AS level, one AND regexp_matches(t, '^[0-9]+[.)]\\s') AS list_ordered FROM k),
+p AS (SELECT *, CASE WHEN element_type = 'paragraph' AND lag(element_type) OVER (PARTITION BY doc_id ORDER BY idx) = 'paragraph' THEN 0 ELSE 1 END AS s FROM e), g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS g FROM p)
+SELECT doc_id, min(idx) AS idx, min_by(element_type, idx) AS element_type, CASE WHEN count(*) > 1 THEN {S.cleaned("string_agg(text, chr(10) || chr(10) ORDER BY idx)")} ELSE min(text) END AS text, min_by(level, idx) AS level, min_by(list_ordered, idx) AS list_ordered FROM g GROUP BY doc_id, g""")
 def txt_elements(spark, d):
-    return E.sections(table(spark, d, "documents").select("doc_id", "text"))
+    """Elements of the documents read as plain text."""
+    return E.sections(table(spark, d, "documents").select("doc_id", "text")).drop("island", "page_number")
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN idx % 3 = 0 THEN 0 ELSE idx // 10 END, CASE WHEN idx % 3 = 0 THEN 0 ELSE length(text) END, idx) AS place FROM e""")
-def reading_order(spark, d):
-    """Elements with a position by page, then by height on it; elements without a position (here every third) after these."""
-    e = _elements(spark, d).withColumn("page", F.when(F.col("idx") % 3 != 0, F.floor(F.col("idx") / 10))).withColumn("y", F.when(F.col("idx") % 3 != 0, F.length("text")))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("page").isNull().cast("int"), F.coalesce("page", F.lit(0)), F.coalesce("y", F.lit(0)), "idx"))
-    return e.select("doc_id", "idx", order.alias("place"))
-
-
-@query(f"""WITH {_LINES}, p AS (SELECT *, lag(element_type) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM e),
-g AS (SELECT *, sum(CASE WHEN element_type = 'paragraph' AND b = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM p)
-SELECT doc_id, island::BIGINT AS island, min(idx) AS idx, min(element_type) AS element_type, string_agg(text, chr(10) ORDER BY idx) AS text FROM g GROUP BY doc_id, island""")
+@query(f"""WITH {_LINES}, p AS (SELECT *, lag(element_type) OVER (PARTITION BY doc_id ORDER BY idx) AS b, idx // 10 AS page, lag(idx // 10) OVER (PARTITION BY doc_id ORDER BY idx) AS bp FROM e),
+g AS (SELECT *, sum(CASE WHEN element_type = 'paragraph' AND b = 'paragraph' AND page = bp THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM p)
+SELECT doc_id, island::BIGINT AS island, min(idx) AS idx, min(element_type) AS element_type, CASE WHEN count(*) > 1 THEN {S.cleaned("string_agg(text, chr(10) || chr(10) ORDER BY idx)")} ELSE min(text) END AS text FROM g GROUP BY doc_id, island""")
 def coalesce_paragraphs(spark, d):
-    return E.joined_paragraphs(_elements(spark, d))
-
-
-@query(f"""WITH {_LINES}, c AS (SELECT DISTINCT lower(text) AS w FROM e WHERE element_type = 'heading'),
-x AS (SELECT e.*, (length(text) <= 48 AND len(string_split(text, ' ')) <= 4 AND w IS NOT NULL) AS dup FROM e LEFT JOIN c ON lower(e.text) = c.w),
-p AS (SELECT *, lag(dup) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM x), g AS (SELECT *, sum(CASE WHEN dup = b THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS r FROM p),
-n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, r) AS n FROM g) SELECT doc_id, idx, text FROM n WHERE NOT (dup AND n >= 3)""")
-def ocr_dup_runs(spark, d):
-    """Elements without runs of three or more short ones that repeat a known heading."""
-    e = _elements(spark, d)
-    known = e.where("element_type = 'heading'").select(F.lower("text").alias("w")).distinct()
-    e = e.join(known, F.lower("text") == F.col("w"), "left")
-    dup = (F.length("text") <= 48) & (F.size(F.split("text", " ")) <= 4) & F.col("w").isNotNull()
-    return E.without_ocr_runs(e, dup).select("doc_id", "idx", "text")
+    """Neighbouring paragraphs of one page as one (ten lines a page)."""
+    e = _elements(spark, d).withColumn("page_number", F.floor(F.col("idx") / 10))
+    return E.joined_paragraphs(e).select("doc_id", "island", "idx", "element_type", "text")
 
 
 @query("""WITH t AS (SELECT o_custkey, string_agg(o_orderkey || '  ' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '  x' ELSE '' END, chr(10) ORDER BY o_orderkey) AS txt FROM orders GROUP BY 1),
@@ -104,9 +90,9 @@ def render_markdown(spark, d):
     return E.rendered(_elements(spark, d), E.markdown_line(), "\n\n", "markdown")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS plain FROM e GROUP BY doc_id")
+@query(f"WITH {_LINES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS plain FROM e GROUP BY doc_id")
 def render_text(spark, d):
-    return E.rendered(_elements(spark, d), F.col("text"), "\n", "plain")
+    return E.rendered(_elements(spark, d), F.col("text"), "\n\n", "plain")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, arg_min(text, idx) AS title FROM e WHERE element_type = 'heading' GROUP BY doc_id")
@@ -120,18 +106,9 @@ def element_counts(spark, d):
     return _elements(spark, d).groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(k == "heading").alias("headings"), F.count_if(k == "list_item").alias("items"))
 
 
-@query(f"""WITH {_LINES}, r AS (SELECT doc_id, idx, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
-SELECT doc_id, idx, n::BIGINT AS n FROM r WHERE before < 1200""")
-def lang_sample_prefix(spark, d):
-    """Leading elements of a document up to and with the one that crosses 1,200 characters; lang_sample_whole has the reference's 12,000."""
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    e = _elements(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
-    return e.where("before < 1200").select("doc_id", "idx", F.length("text").cast("bigint").alias("n"))
-
-
 @query(f"""WITH {_LINES}, r AS (SELECT doc_id, idx, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT doc_id, idx, n::BIGINT AS n FROM r WHERE before < 12000""")
-def lang_sample_whole(spark, d):
+def lang_sample_prefix(spark, d):
     """Leading elements of a document up to and with the one that crosses 12,000 characters."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     e = _elements(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
@@ -151,12 +128,12 @@ def lang_detect(spark, d):
 
 @query("""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
 f AS (SELECT doc_id, ps, 1 AS i, '' AS b, []::VARCHAR[] AS c FROM p
-UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(n) >= 400 THEN right(n, 40) ELSE n END, CASE WHEN length(n) >= 400 THEN list_append(c, n) ELSE c END FROM (SELECT *, CASE WHEN b = '' THEN ps[i] ELSE b || chr(10) || chr(10) || ps[i] END AS n FROM f WHERE i <= len(ps)) x)
+UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(n) >= 2000 THEN right(n, 200) ELSE n END, CASE WHEN length(n) >= 2000 THEN list_append(c, n) ELSE c END FROM (SELECT *, CASE WHEN b = '' THEN ps[i] ELSE b || chr(10) || chr(10) || ps[i] END AS n FROM f WHERE i <= len(ps)) x)
 SELECT doc_id, CASE WHEN trim(b, ' ') <> '' THEN list_append(c, b) ELSE c END AS chunks FROM f WHERE i = len(ps) + 1""")
 def chunk_fold(spark, d):
-    """Chunks of 400 characters with 40 of overlap over the lines of each document."""
+    """Chunks of 2,000 characters with 200 of overlap over the lines of each document."""
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", E.folded_chunks(F.split("text", "\n"), 400, 40).alias("chunks"))
+    return docs.select("doc_id", E.folded_chunks(F.split("text", "\n"), 2000, 200).alias("chunks"))
 
 
 @query("""WITH l AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), a AS (SELECT avg(n) AS mean_chars, median(n) AS median_chars, count(*) FILTER (n > 2000) * 1.0 / count(*) AS share FROM l)

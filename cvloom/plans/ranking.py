@@ -188,45 +188,6 @@ def scored(spark, d) -> DataFrame:
     return f.withColumn("match_score", K.match_score(parts, 6))
 
 
-@query(f"WITH {_FEATURES}, g AS (SELECT *, {_SCORE} AS match_score FROM f) SELECT hit_id, match_score, CASE WHEN match_score >= 0.8 THEN 'strong' WHEN match_score >= 0.6 THEN 'good' ELSE 'weak' END AS match_type FROM g")
-def match_score(spark, d):
-    return scored(spark, d).select("hit_id", "match_score", K.level(F.col("match_score"), [(0.8, "strong"), (0.6, "good")], "weak").alias("match_type"))
-
-
-@query(f"WITH {_FEATURES}, g AS (SELECT hit_id, {_SCORE} AS match_score FROM f) SELECT * FROM g ORDER BY match_score DESC, hit_id LIMIT 3")
-def best_candidates(spark, d):
-    return scored(spark, d).select("hit_id", "match_score").orderBy(F.desc("match_score"), "hit_id").limit(3)
-
-
-@query(f"WITH {_FEATURES} SELECT hit_id, CASE WHEN sk >= 0.75 THEN 'high' WHEN sk >= 0.45 THEN 'medium' WHEN sk > 0 THEN 'low' ELSE 'unknown' END AS coverage FROM f")
-def coverage_level(spark, d):
-    s = F.col("f.score")
-    return _skills(spark, d).select("hit_id", F.when(s >= 0.75, "high").when(s >= 0.45, "medium").when(s > 0, "low").otherwise("unknown").alias("coverage"))
-
-
-@query(f"""WITH {_FEATURES}, g AS (SELECT hit_id, {_SCORE} AS match_score FROM f), bb AS (SELECT max(match_score) AS s, count(*) AS n FROM g)
-SELECT CASE WHEN n = 0 THEN 'invalid_input' WHEN s >= 0.8 THEN 'strong_match' WHEN s >= 0.6 THEN 'partial_match' WHEN s >= 0.4 THEN 'weak_match' ELSE 'no_match' END AS verdict, CASE WHEN n = 0 THEN 0.1 ELSE round(least(1.0, 0.35 + 0.5 * s + 0.03 * least(n, 5)), 4) END::DOUBLE AS confidence FROM bb""")
-def judgement(spark, d):
-    """Verdict on the best match and its confidence; an empty set is invalid input."""
-    b = scored(spark, d).agg(F.max("match_score").alias("s"), F.count("*").alias("n"))
-    verdict = F.when(F.col("n") == 0, "invalid_input").otherwise(K.level(F.col("s"), [(0.8, "strong_match"), (0.6, "partial_match"), (0.4, "weak_match")], "no_match"))
-    sure = F.round(F.least(F.lit(1.0), 0.35 + 0.5 * F.col("s") + 0.03 * F.least(F.col("n"), F.lit(5))), 4)
-    return b.select(verdict.alias("verdict"), F.when(F.col("n") == 0, 0.1).otherwise(sure).alias("confidence"))
-
-
-@query(f"""WITH {_FEATURES}, g AS (SELECT hit_id, {_SCORE} AS match_score, sk, lo, se, hit_id % 2 = 0 AS relaxed FROM f), v AS (SELECT *, CASE WHEN match_score >= 0.6 THEN 'match' WHEN match_score >= 0.4 THEN 'weak_match' ELSE 'no_match' END AS verdict FROM g)
-SELECT hit_id, CASE WHEN verdict = 'match' THEN 'none' WHEN sk > 0 AND sk < 0.45 THEN 'poor_skill_coverage' WHEN lo > 0 AND lo < 0.45 THEN 'location_mismatch' ELSE 'no_matches' END AS failure_type,
-CASE WHEN verdict = 'match' THEN 'RETURN_ANSWER' WHEN NOT relaxed THEN 'RELAX_AND_RETRY' WHEN verdict = 'weak_match' THEN 'RETURN_PARTIAL_ANSWER' ELSE 'ASK_USER_CLARIFICATION' END AS strategy FROM v""")
-def recovery_table(spark, d):
-    """What to do next by verdict, coverage and whether criteria were relaxed before (here: even hits)."""
-    s, relaxed = scored(spark, d), F.col("hit_id") % 2 == 0
-    good, weak = F.col("match_score") >= 0.6, F.col("match_score") >= 0.4
-    low = lambda n: (F.col(f"{n}.score") > 0) & (F.col(f"{n}.score") < 0.45)
-    failure = F.when(good, "none").when(low("skills"), "poor_skill_coverage").when(low("location"), "location_mismatch").otherwise("no_matches")
-    step = F.when(good, "RETURN_ANSWER").when(~relaxed, "RELAX_AND_RETRY").when(weak, "RETURN_PARTIAL_ANSWER").otherwise("ASK_USER_CLARIFICATION")
-    return s.select("hit_id", failure.alias("failure_type"), step.alias("strategy"))
-
-
 @query(f"""WITH {_FEATURES}, g AS (SELECT hit_id, {_SCORE} AS match_score FROM f ORDER BY 2 DESC, 1 LIMIT 6) SELECT hit_id, CASE WHEN row_number() OVER (ORDER BY match_score DESC, hit_id) <= 3 THEN 'match' ELSE 'extra' END AS place FROM g""")
 def answer_cardinality(spark, d):
     """Three main answers and three more."""

@@ -13,22 +13,25 @@ NOW = "2026-06-30"
 STRIP = "regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
 
 
-@query("""SELECT hit_id, left(trim(regexp_replace(regexp_replace(replace(content, chr(0), ''), '[ \t]+', ' ', 'g'), '\n{3,}', '\n\n', 'g'), ' \n\r\t'), 25000) AS cleaned FROM hits WHERE content IS NOT NULL AND NOT regexp_matches(content, '[A-Z] \\. [A-Z]')""")
+_ABBREVIATED = "regexp_replace({0}, '([A-Z]) \\. ([A-Z])([^a-zA-Z]|$)', '\\1.\\2\\3', 'g')"
+
+
+@query(f"""SELECT hit_id, left(trim(regexp_replace(regexp_replace({_ABBREVIATED.format(_ABBREVIATED.format("replace(content, chr(0), '')"))}, '[ \t]+', ' ', 'g'), '\n{{3,}}', '\n\n', 'g'), ' \n\r\t'), 25000) AS cleaned FROM hits WHERE content IS NOT NULL""")
 def clean_text(spark, d):
-    """Cleaned contents. The SQL has no look-around and leaves out spaced abbreviations; these are tested by hand."""
+    """Cleaned contents, spaced abbreviations joined (the SQL does that twice for lack of look-around)."""
     h = table(spark, d, "hits").where("content is not null")
     return h.select("hit_id", T.clean_text(F.col("content")).alias("cleaned"))
 
 
-@query("""SELECT hit_id, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS cleaned FROM hits WHERE content IS NOT NULL""")
+@query("""SELECT hit_id, trim(regexp_replace(content, '[\\s\\x{0b}\\x{85}\\p{Z}]+', ' ', 'g'), ' ') AS cleaned FROM hits WHERE content IS NOT NULL""")
 def clean_inline(spark, d):
-    return table(spark, d, "hits").where("content is not null").select("hit_id", F.trim(F.regexp_replace("content", r"\s+", " ")).alias("cleaned"))
+    return table(spark, d, "hits").where("content is not null").select("hit_id", T.clean_inline(F.col("content")).alias("cleaned"))
 
 
-@query("""SELECT hit_id, trim(regexp_replace(regexp_replace('<p>' || content || '</p><br/>', '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS plain FROM hits WHERE content IS NOT NULL""")
+@query("""SELECT hit_id, trim(regexp_replace(regexp_replace('<p>' || content || '</p><br/>', '<[^>]+>', ' ', 'g'), '[\\s\\x{0b}\\x{85}\\p{Z}]+', ' ', 'g'), ' ') AS plain FROM hits WHERE content IS NOT NULL""")
 def html_strip(spark, d):
     c = F.concat(F.lit("<p>"), "content", F.lit("</p><br/>"))
-    return table(spark, d, "hits").where("content is not null").select("hit_id", F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " ")).alias("plain"))
+    return table(spark, d, "hits").where("content is not null").select("hit_id", T.html_strip(c).alias("plain"))
 
 
 @query("""SELECT message_id, trim(regexp_replace(regexp_replace(coalesce(filename, ''), '\\.[^.]+$', ''), '(?i)[_\\-\\s]?(?:vers(?:ione)?|rev|v)[_\\-\\s]*[0-9]+$', ''), '_- .') AS doc FROM queue_messages""")
@@ -53,7 +56,7 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
 
 
-@query("""SELECT hit_id, nullif(regexp_extract(content, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_.-]+\\.[a-zA-Z]{2,}'), '') AS email, nullif(regexp_extract(content, '\\+?[0-9][0-9\\s().-]{6,}[0-9]'), '') AS phone FROM hits""")
+@query("""SELECT hit_id, nullif(regexp_extract(content, '[\\p{L}\\p{N}\\p{M}_.+-]+@[\\p{L}\\p{N}\\p{M}_.-]+\\.[a-zA-Z]{2,}'), '') AS email, nullif(regexp_extract(content, '\\+?\\p{Nd}[\\p{Nd}\\s().-]{6,}\\p{Nd}'), '') AS phone FROM hits""")
 def contact_extract(spark, d):
     return table(spark, d, "hits").select("hit_id", T.first_email(F.col("content")).alias("email"), T.first_phone(F.col("content")).alias("phone"))
 
@@ -105,9 +108,21 @@ def first_non_empty(spark, d):
     return table(spark, d, "llm_extraction_raw").select("raw_id", T.first_non_empty(F.col("email"), F.col("phone"), F.lit("none")).alias("contact"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('1','true','yes','y','on') THEN true WHEN event_type IN ('0','false','no','n','off') THEN false END AS flag, CASE WHEN try_cast(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) > 0 THEN try_cast(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) END AS number FROM events""")
+_FLAGS = ("yes", " TRUE ", "on", "1", "no", "False", "off", "n", "maybe", "", None)
+_FLAG = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_FLAGS) if v is not None) + " END"
+
+
+@query(f"""WITH t AS (SELECT event_id, lower(trim({_FLAG}, ' ')) AS v, CASE event_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '' ELSE 'x' END || regexp_extract(props, '([0-9]+)', 1) AS n, value::VARCHAR AS d FROM events),
+p AS (SELECT event_id, v, CASE WHEN v IN ('1','true','yes','y','on') THEN true WHEN v IN ('0','false','no','n','off') THEN false END AS flag, CASE WHEN try_cast(n AS INTEGER) > 0 THEN try_cast(n AS INTEGER) END AS number, n FROM t)
+SELECT event_id, flag, number, CASE WHEN v <> '' AND flag IS NULL THEN 'flag' WHEN n <> '' AND number IS NULL THEN 'number' END AS rejected FROM p""")
 def parse_scalars(spark, d):
-    return table(spark, d, "events").select("event_id", V.parse_bool(F.col("event_type")).alias("flag"), V.positive_int(F.regexp_extract("props", "([0-9]+)", 1)).alias("number"))
+    """Flags and positive numbers from loose texts, and which of them is given but unreadable."""
+    v = F.element_at(F.array(*map(F.lit, _FLAGS)), (F.col("event_id") % 11 + 1).cast("int"))
+    n = F.concat(F.when(F.col("event_id") % 3 == 0, "-").when(F.col("event_id") % 3 == 1, "").otherwise("x"), F.regexp_extract("props", "([0-9]+)", 1))
+    e = table(spark, d, "events").select("event_id", v.alias("v"), n.alias("n"))
+    flag, number = V.parse_bool(F.col("v")), V.positive_int(F.col("n"))
+    bad = F.when((F.trim("v") != "") & flag.isNull(), "flag").when((F.trim("n") != "") & number.isNull(), "number")
+    return e.select("event_id", flag.alias("flag"), number.alias("number"), bad.alias("rejected"))
 
 
 @query("""SELECT raw_id, CASE WHEN regexp_full_match(trim(birth_date, ' '), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(trim(birth_date, ' ') AS DATE) END AS born FROM llm_extraction_raw""")
@@ -157,35 +172,32 @@ def strip_front_matter(spark, d):
 
 
 @query("""WITH t AS (SELECT match_key, payload_json AS p, regexp_extract(payload_json, '(?s)\\{.*\\}') AS i FROM candidates WHERE payload_json IS NOT NULL)
-SELECT match_key, CASE WHEN json_valid(p) AND starts_with(trim(p, ' '), '{') THEN true WHEN i <> '' AND json_valid(i) THEN true ELSE false END AS usable FROM t""")
+SELECT match_key, CASE WHEN json_valid(p) AND starts_with(trim(p, ' '), '{') THEN trim(p, ' ') WHEN i <> '' AND json_valid(i) THEN i END AS json FROM t""")
 def json_salvage(spark, d):
     c = table(spark, d, "candidates").where("payload_json is not null")
-    return c.select("match_key", V.salvage_json(F.col("payload_json")).isNotNull().alias("usable"))
-
-
-@query("""SELECT hit_id, coalesce(nullif(trim(role, ' '), ''), '') AS role, list_sort(list_distinct(list_filter(list_transform(coalesce(skills, []), lambda x: lower(trim(x, ' '))), lambda x: x IS NOT NULL AND x <> ''))) AS skills,
-CASE WHEN lower(trim(seniority, ' ')) IN ('remote','hybrid','onsite','unknown') THEN lower(trim(seniority, ' ')) ELSE 'unknown' END AS work_mode, greatest(1, least(100, CASE WHEN coalesce(chunk_index, 0) = 0 THEN 10 ELSE chunk_index END)) AS top FROM hits""")
-def normalise_request(spark, d):
-    """Requests normalised: role, set of skills, work mode from a list, top between 1 and 100 with 10 for none or 0."""
-    h, mode = table(spark, d, "hits"), F.lower(F.trim("seniority"))
-    top = F.when(F.coalesce("chunk_index", F.lit(0)) == 0, 10).otherwise(F.col("chunk_index"))
-    return h.select("hit_id", F.coalesce(F.trim("role"), F.lit("")).alias("role"), T.clean_set(F.col("skills")).alias("skills"), F.when(mode.isin("remote", "hybrid", "onsite", "unknown"), mode).otherwise("unknown").alias("work_mode"), F.greatest(F.lit(1), F.least(F.lit(100), top)).alias("top"))
-
-
-@query("""SELECT hit_id, trim(regexp_replace(regexp_replace(content, '\\s+', ' ', 'g'), '[\\x{00}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), ' ') AS normal FROM hits WHERE regexp_full_match(content, '[\\x{01}-\\x{7f}]*')""")
-def normalize_text(spark, d):
-    """Normal form of the contents in plain characters only, as its SQL has no NFKC; normalize_text_all has all contents."""
-    h = table(spark, d, "hits").where(F.col("content").rlike(r"^[\x01-\x7f]*$"))
-    return h.select("hit_id", F.trim(F.regexp_replace(F.regexp_replace("content", r"\s+", " "), r"[\x00-\x1F\x7F-\x9F]", "")).alias("normal"))
+    return c.select("match_key", V.salvage_json(F.col("payload_json")).alias("json"))
 
 
 @query()
-def normalize_text_all(spark, d):
-    """Normal form of every content, with NFKC."""
+def normalize_text(spark, d):
+    """Normal form of every content: NFKC, single blanks, no control characters. Python, as the JVM functions have no NFKC."""
     return table(spark, d, "hits").where("content is not null").select("hit_id", U.nfkc()("content").alias("normal"))
 
 
-@query("""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words, len(regexp_extract_all(text, '(?m)^#+ ')) AS headings FROM documents WHERE text IS NOT NULL""")
+@query("""WITH s AS (SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words, len(regexp_extract_all(text, '(?m)^#+ ')) AS headings, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_matches(p, '[^\\s\\x{0b}\\x{85}\\p{Z}]'))) AS paragraphs FROM documents WHERE text IS NOT NULL)
+SELECT *, CASE WHEN words > 800 THEN 'chunk' ELSE 'whole' END AS advice FROM s""")
 def text_stats(spark, d):
+    """Characters, words, headings and paragraphs of each document, and whether to cut it into chunks."""
     c = table(spark, d, "documents").where("text is not null")
-    return c.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).cast("bigint").alias("words"), F.size(F.regexp_extract_all("text", F.lit(r"(?m)(^#+ )"), F.lit(1))).cast("bigint").alias("headings"))
+    many = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("bigint")
+    paragraphs = F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: T.strip(p) != "")).cast("bigint")
+    c = c.select("doc_id", F.length("text").cast("bigint").alias("chars"), many(r"[\p{L}\p{N}_]+").alias("words"), many(r"(?m)^#+ ").alias("headings"), paragraphs.alias("paragraphs"))
+    return c.withColumn("advice", F.when(F.col("words") > 800, "chunk").otherwise("whole"))
+
+
+@query("""WITH s AS (SELECT coalesce(source, 'none') AS source, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words FROM documents WHERE text IS NOT NULL)
+SELECT source, count(*) AS docs, round(avg(words), 6) AS mean_words, CASE WHEN avg(words) > 800 THEN 'chunk' ELSE 'whole' END AS advice FROM s GROUP BY GROUPING SETS ((source), ())""")
+def text_stats_by_source(spark, d):
+    """Mean words by source and of all documents, and the advice that follows."""
+    c = table(spark, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+")).alias("words"))
+    return c.rollup("source").agg(F.count("*").alias("docs"), F.round(F.avg("words"), 6).alias("mean_words"), F.when(F.avg("words") > 800, "chunk").otherwise("whole").alias("advice"))

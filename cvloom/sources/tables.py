@@ -21,6 +21,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def connection(env: dict[str, str], text: str | None = None, **defaults: str) -> dict[str, str]:
+    """Settings of a database: those of the environment (DB_HOST and so on) come first, then the connection string's, then the defaults."""
+    given = {k[3:].lower(): v for k, v in env.items() if k.startswith("DB_") and v}
+    return {k.lower(): v for k, v in defaults.items()} | settings(text) | given
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 5000, parts: int = 16, **options: str) -> None:
+    """Rows to a table over JDBC in batches, over a bounded number of connections."""
+    df.coalesce(parts).write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode(mode).save()
+
+
 def create_chunk_table(spark: SparkSession, name: str, buckets: int = 64) -> None:
     """The chunk table, bucketed by document so that group-bys and joins by document need no shuffle."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({CHUNK_SCHEMA}) USING parquet CLUSTERED BY (document_id) INTO {int(buckets)} BUCKETS")

@@ -10,6 +10,7 @@ from cvloom.functions import text as T
 from cvloom.functions import udfs as U
 from cvloom.functions import values as V
 from cvloom.operators import elements as E
+from cvloom.operators import layout as L
 from cvloom.operators import ranking as K
 from cvloom.operators import retrieval as R
 from cvloom.operators import store as S
@@ -130,11 +131,14 @@ def test_docx_and_formats(spark, tmp_path):
     import zipfile
 
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    names = '<w:style w:styleId="Titolo2"><w:name w:val="Heading 2"/></w:style>'
     p = lambda t, s="": f'<w:p><w:pPr>{f"<w:pStyle w:val=\"{s}\"/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{p('Title', 'Heading 2')}{p('- item')}{p('Body')}{p('')}</w:body></w:document>")
-    assert files.docx_paragraphs(out.getvalue()) == [(0, "heading", "Title", 2), (1, "list_item", "item", None), (2, "paragraph", "Body", None)] and files.docx_paragraphs(b"no") == []
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{p('Title', 'Titolo2')}{p('- item')}{p('Body')}{p('')}{p('goes on')}{table}{p('Last', 'Heading')}{p('3) third')}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {ns}>{names}</w:styles>")
+    assert files.docx_paragraphs(out.getvalue()) == [(0, "heading", "Title", 2, False), (1, "list_item", "item", 1, False), (2, "paragraph", "Body\n\ngoes on", None, False), (3, "heading", "Last", 1, False), (4, "list_item", "third", 1, True)] and files.docx_paragraphs(b"no") == []
     (tmp_path / "a.docx").write_bytes(out.getvalue())
     (tmp_path / "b.txt").write_bytes("perché".encode("latin-1"))
     (tmp_path / "c.bin").write_bytes(b"%PDF-1.7")
@@ -144,14 +148,31 @@ def test_docx_and_formats(spark, tmp_path):
     assert [r.reason for r in files.accepted(sized)[1].orderBy("id").collect()] == ["empty", "too_large"] and bad.count() == 0
     assert {r.filename: r.f for r in good.select("filename", files.file_format(F.col("content"), F.coalesce(files.mime(F.col("filename")), F.lit(""))).alias("f")).collect()} == {"a.docx": "docx", "b.txt": "txt", "c.bin": "pdf"}
     assert good.where("filename = 'b.txt'").select(files.decoded(F.col("content")).alias("t")).first().t == "perché"
-    assert files.docx_elements(good.where("filename = 'a.docx'")).count() == 3
+    assert files.docx_elements(good.where("filename = 'a.docx'")).count() == 5
 
 
 def test_pdf_layout(spark):
     rows = [("d", 1, 0, 0, 0, 0.0, 0.0, 50.0, 20.0, 20.0, "Title"), ("d", 1, 1, 0, 0, 0.0, 30.0, 20.0, 41.0, 11.0, "one"), ("d", 1, 1, 0, 1, 20.5, 30.0, 40.0, 41.0, 11.0, "two"), ("d", 1, 1, 0, 2, 45.0, 30.0, 60.0, 41.0, 11.0, "three"), ("d", 1, 1, 1, 0, 0.0, 42.0, 60.0, 53.0, 11.0, "next"), ("d", 1, 2, 0, 0, 0.0, 200.0, 60.0, 211.0, 11.0, "far")]
-    lines = files.span_lines(spark.createDataFrame(rows, files.SPANS))
+    s = spark.createDataFrame(rows, files.SPANS)
+    lines = L.lines(s)
     assert {r.text for r in lines.collect()} == {"Title", "onetwo three", "next", "far"}
-    assert [r.block for r in files.line_blocks(lines).orderBy("page", "y0").collect()] == [1, 2, 2, 3]
+    blocks = L.blocks(L.rows(lines), L.body_sizes(s)).orderBy("block").collect()
+    assert [r.lines for r in blocks] == [["Title"], ["onetwo three", "next"], ["far"]]
+    got = {r.text: (r.element_type, r.level) for r in L.elements(spark.createDataFrame(blocks)).collect()}
+    assert got["Title"] == ("heading", 1) and got["onetwo three\nnext"] == ("paragraph", None)
+
+
+def test_headings(spark):
+    def head(t, size=11.0):
+        return one(spark, F.struct(L.is_heading(F.lit(t), F.lit(size), F.lit(11.0)).alias("h"), L.heading_level(F.lit(t), F.lit(size), F.lit(11.0)).alias("l")))
+
+    assert [(r.h, r.l) for r in (head("2.1 Scope"), head("ABOUT ME"), head("about me"), head("about me", 20.0), head("Ends.", 20.0), head("3D artist", 17.0), head("x" * 121, 20.0))] == [(True, 2), (True, 3), (False, 3), (True, 1), (False, 1), (True, 1), (False, 1)]
+
+
+def test_tables_in_markdown(spark):
+    rows = F.array(F.array(F.lit("a|b"), F.lit(" c ")), F.array(F.lit(" "), F.lit("")), F.array(F.lit("d")))
+    assert one(spark, L.table_markdown(rows)) == "| a\\|b | c |\n| --- | --- |\n| d |  |" and one(spark, L.table_text(rows)) == "a|b | c\nd"
+    assert one(spark, L.table_markdown(F.array(F.array(F.lit("h"), F.lit("k"))))) == "| h | k |\n| --- | --- |\n|  |  |" and one(spark, L.table_markdown(F.array(F.array(F.lit(" "))))) == ""
 
 
 def test_messages(spark):
@@ -166,7 +187,30 @@ def test_settings_and_csv(spark, tmp_path):
     assert tables.settings("Server=a;Port=1;Pwd=x=y", port="2") == {"server": "a", "port": "2", "pwd": "x=y"}
     files.write_csv(spark.createDataFrame([(1, 'say "x"', 3)], "b int, a string, z int"), str(tmp_path / "o"), ["a", "b", "c"])
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "o"))
-    assert back.columns == ["a", "b", "c"] and back.first().a == 'say "x"'
+    assert [c.lstrip("\ufeff") for c in back.columns] == ["a", "b", "c"] and back.first()[0] == 'say "x"'
+    assert next((tmp_path / "o").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfa,b,c") and len(files.REPORT) == 37
+    assert tables.connection({"DB_HOST": "env", "DB_USER": ""}, "host=a;port=1", port="9", name="n") == {"host": "env", "port": "1", "name": "n"}
+
+
+def test_workbook(spark):
+    import io
+    import zipfile
+
+    df = spark.createDataFrame([("a & b", 4.5), (None, 2.0), ("c", None)], "query string, final_score double")
+    sheet = zipfile.ZipFile(io.BytesIO(files.workbook(df))).read("xl/worksheets/sheet1.xml").decode()
+    assert "a &amp; b" in sheet and 's="1"><v>4.5' in sheet and 's="3"><v>2.0' in sheet and '<c s="4"/>' in sheet
+    with pytest.raises(ValueError):
+        files.workbook(df, most=2)
+
+
+def test_blobs(spark, tmp_path):
+    df = spark.createDataFrame([("x/a.md", bytearray(b"one"))], "blob string, content binary")
+    for _ in range(2):
+        df.foreachPartition(files.blob_writer(str(tmp_path)))
+    path = str(tmp_path / "x/a.md")
+    assert (tmp_path / "x/a.md").read_bytes() == b"one" and files.existing(spark, [path, path + "?"]) == [path]
+    assert [r.filename for r in files.recent(files.scan(spark, str(tmp_path)), 1).collect()] == ["a.md"]
+    assert files.delete_blob(spark, path) and not files.delete_blob(spark, path)
 
 
 def test_nfkc_and_reencoding(spark):
