@@ -65,18 +65,20 @@ def hashed_embedding(text: str, size: int = 64) -> list[float]:
 
 
 def embedder(model: Callable[[str], list[float]] = hashed_embedding):
-    """UDF of an embedding model; a failing or empty text keeps its row with a null vector."""
+    """UDF of an embedding model: (vector, error). An empty text has neither, a failing one its error; both keep their row."""
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.DataFrame:
         def one(t):
+            if not t or not t.strip():
+                return None, None
             try:
-                return model(t) if t and t.strip() else None
-            except Exception:  # the row stays, without a vector
-                return None
+                return model(t), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
 
-        return texts.map(one)
+        return pd.DataFrame([one(t) for t in texts], columns=["vector", "error"])
 
-    return F.pandas_udf(run, "array<float>")
+    return F.pandas_udf(run, "vector array<float>, error string")
 
 
 def json_blocks(text: str | None) -> Iterator[str]:
@@ -103,38 +105,59 @@ def json_blocks(text: str | None) -> Iterator[str]:
                 yield block
 
 
-@udtf(returnType="block string")
+@udtf(returnType="block string", useArrow=True)
 class ExtractJsonBlocks:
     def eval(self, text: str):
         for b in json_blocks(text):
             yield (b,)
 
 
-def walk_hits(value, depth: int = 0) -> Iterator[dict]:
-    """Objects in lists under 'hits' or 'results' anywhere in a JSON value, strings that hold JSON included."""
-    if depth > 12:
-        return
-    if isinstance(value, str):
-        if value.lstrip()[:1] in ("{", "["):
-            try:
-                yield from walk_hits(json.loads(value), depth + 1)
-            except ValueError:
-                return
-    elif isinstance(value, list):
-        for v in value:
-            yield from walk_hits(v, depth + 1)
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            if k in ("hits", "results") and isinstance(v, list):
-                yield from (x for x in v if isinstance(x, dict))
-            else:
-                yield from walk_hits(v, depth + 1)
-
-
-@udtf(returnType="hit string")
+# Keys of which a candidate has one at least.
+CANDIDATE_KEYS = ("name", "full_name", "candidate_id", "skills", "role", "location")
+
+
+def walk_hits(value) -> Iterator[dict]:
+    """Candidates in lists under 'hits' or 'results' anywhere in a JSON value, at any depth, also inside strings that hold JSON and inside other candidates."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            if v.lstrip()[:1] in ("{", "["):
+                try:
+                    stack.append(json.loads(v))
+                except (ValueError, RecursionError):
+                    continue
+        elif isinstance(v, list):
+            stack += reversed(v)
+        elif isinstance(v, dict):
+            for key in ("hits", "results"):
+                yield from (x for x in (v[key] if isinstance(v.get(key), list) else ()) if isinstance(x, dict) and any(k in x for k in CANDIDATE_KEYS))
+            stack += reversed(v.values())
+
+
+def candidate_row(item: dict) -> dict:
+    """A candidate with its usual fields, whatever they were called."""
+    first = lambda *keys: next((str(item[k]).strip() for k in keys if item.get(k)), "")
+    return {"name": first("name", "full_name", "candidate_id"), "role": first("role"), "location": first("location"), "skills": item["skills"] if isinstance(item.get("skills"), list) else [], "retrieval_score": item.get("retrieval_score"), "source_path": first("source_path", "path", "source")}
+
+
+def search_evidence(text: str | None) -> tuple[int, str, str]:
+    """(number of different candidates, first five names, the first twenty as JSON) of a recorded response."""
+    kept: dict[tuple, dict] = {}
+    for c in map(candidate_row, walk_hits(text or "")):
+        kept.setdefault(tuple(c[k].casefold() for k in ("name", "role", "location")), c)
+    top = [*kept.values()][:20]
+    return len(kept), ", ".join([c["name"] for c in top if c["name"]][:5]), json.dumps({"candidates_count": len(kept), "top_candidates": top}, ensure_ascii=False, sort_keys=True)
+
+
+def evidence_of():
+    return F.pandas_udf(lambda texts: pd.DataFrame([search_evidence(t) for t in texts], columns=["candidates_count", "candidates_names", "evidence"]), "candidates_count int, candidates_names string, evidence string")
+
+
+@udtf(returnType="hit string", useArrow=True)
 class CollectHits:
     def eval(self, text: str):
-        for h in walk_hits(text):
+        for h in walk_hits(text or ""):
             yield (json.dumps(h, sort_keys=True, ensure_ascii=False),)
 
 
@@ -153,20 +176,29 @@ def header_chunks(markdown: str, size: int = 2000, overlap: int = 200) -> list[t
             lines.append(line)
     parts.append((section, "\n".join(lines)))
 
-    def cut(text: str) -> list[str]:
-        if len(text) <= size:
-            return [text]
-        for mark in ("\n\n", "\n", ". ", " "):
-            at = text.rfind(mark, overlap + 1, size)
-            if at > 0:
-                at += len(mark)
-                return [text[:at], *cut(text[max(at - overlap, 1) :])]
-        return [text[:size], *cut(text[size - overlap :])]
+    def cut(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > size:
+            end = at + size
+            for mark in ("\n\n", "\n", ". ", " "):
+                spot = text.rfind(mark, at + overlap + 1, end)
+                if spot > 0:
+                    end = spot + len(mark)
+                    break
+            yield text[at:end]
+            at = max(end - overlap, at + 1)
+        yield text[at:]
 
     found = [(s, c.strip()) for s, t in parts if t.strip() for c in cut(t) if c.strip()]
     return [(k, s, c) for k, (s, c) in enumerate(found, 1)]
 
 
+@udtf(returnType="chunk_index int, section string, content string", useArrow=True)
+class ChunkMarkdown:
+    def eval(self, text: str, size: int, overlap: int):
+        yield from header_chunks(text or "", int(size), int(overlap))
+
+
 def chunked_by_header(docs: DataFrame, key: str, text: str, size: int = 2000, overlap: int = 200) -> DataFrame:
     """key, chunk_index, section, content of markdown documents; null and blank ones have no chunk."""
     kind = docs.select(key).dtypes[0][1]

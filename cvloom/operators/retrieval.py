@@ -76,6 +76,29 @@ def nearest(vectors: DataFrame, key: str, vector: str, probe: DataFrame, k: int)
     return v.select(key, F.round(cosine(F.col(vector), F.col("probe")), 6).alias("vec_score")).orderBy(F.desc("vec_score"), key).limit(k)
 
 
+def nearest_approximate(vectors: DataFrame, key: str, vector: str, probe: DataFrame, k: int, planes: int = 16, tables: int = 8, flips: int = 5, seed: int = 7) -> DataFrame:
+    """Up to k rows near the one vector of probe, compared exactly within the buckets of random hyperplanes.
+
+    A row is compared if in one of the tables its side of the planes differs from the probe's in a few of them at most. The
+    planes are made from the seed, so every row, also a later one, has the same buckets in every session.
+    """
+    import numpy as np
+
+    size = len(vectors.select(vector).where(F.col(vector).isNotNull()).limit(1).collect()[0][0]) if not vectors.isEmpty() else 0
+    made = np.random.default_rng(seed).normal(size=(tables, planes, size)).round(4).tolist()
+    dot = lambda x, plane: F.aggregate(F.zip_with(x, F.array(*map(F.lit, plane)), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda a, v: a + v)
+
+    def sides(x: Column) -> Column:
+        return F.array(*[sum(F.when(dot(x, p) > 0, F.lit(1 << n)).otherwise(F.lit(0)) for n, p in enumerate(t)) for t in made])
+
+    if not size:
+        return vectors.select(key, F.lit(0.0).alias("vec_score")).limit(0)
+    one = F.broadcast(probe.select("probe", sides(F.col("probe")).alias("_p")))  # one row
+    near = F.exists(F.zip_with("_s", "_p", lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= flips), lambda x: x)
+    v = vectors.withColumn("_s", sides(F.col(vector))).crossJoin(one).where(near)
+    return v.select(key, F.round(cosine(F.col(vector), F.col("probe")), 6).alias("vec_score")).orderBy(F.desc("vec_score"), key).limit(k)
+
+
 def merged(lexical: DataFrame, semantic: DataFrame, vector: DataFrame, key: str) -> DataFrame:
     """Full outer merge of the three passes; a missing score is 0. score: semantic if positive, else the better other."""
     m = semantic.join(lexical, key, "full_outer").join(vector, key, "full_outer")
@@ -98,11 +121,8 @@ def document_key() -> Column:
     return F.coalesce(T.blank_to_null(F.col("document_id")), F.col("id"))
 
 
-def by_document(chunks: DataFrame, order: list[Column]) -> DataFrame:
-    """Best scores of each document and the attributes of its best chunk. Rows without any key are dropped.
-
-    Scores are maxima and attributes come by max_by over a struct, so all of it is one partial aggregation.
-    """
+def by_document(chunks: DataFrame) -> DataFrame:
+    """Chunks with the document they belong to in doc; chunks without any key are dropped."""
     return chunks.withColumn("doc", document_key()).where("doc is not null")
 
 

@@ -4,91 +4,124 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import values as V
+from ..operators import domain as D
+from ..operators import retrieval as R
+from ..operators import store as S
+from . import sql as Q
 from .registry import query, table
 
 TODAY = "2026-06-30"
 _D = "CASE WHEN regexp_full_match(trim({0}, ' '), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(trim({0}, ' ') AS DATE) END"
 
 
-def typed_periods():
-    """Periods as dates, without those that have neither end."""
-    p = F.transform("employment_dates", lambda x: F.struct(V.strict_date(x.start_date).alias("start_date"), V.strict_date(x.end_date).alias("end_date")))
-    return F.filter(p, lambda x: x.start_date.isNotNull() | x.end_date.isNotNull())
+def _b(c: str) -> str:
+    return f"nullif({Q.strip(c)}, '')"
 
 
-def unique_skills():
-    """Skills with trimmed names, the first of equal names (case aside) kept, sorted by name."""
-    clean = F.filter(F.transform("skills", lambda s: F.struct(F.trim(s["name"]).alias("name"), F.nullif(F.trim(s["level"]), F.lit("")).alias("level"))), lambda s: s["name"] != "")
-    zero = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<struct<name:string,level:string>>").alias("kept"))
+_CLEAN = "list_filter(list_transform(coalesce(skills, []), lambda s: {'name': lower(trim(coalesce(s.name, ''), ' ')), 'level': nullif(trim(s.level, ' '), '')}), lambda s: s.name <> '')"
+_TYPED = f"""c AS (SELECT *, {_CLEAN} AS cs FROM llm_extraction_raw),
+t AS (SELECT raw_id, document_id, extracted_at, {_b('name')} AS full_name, {_b('role')} AS role, {_b('location')} AS location, CASE WHEN regexp_matches(trim(email, ' '), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN lower(trim(email, ' ')) END AS email, coalesce(trim(email, ' ') <> '', false) AND NOT coalesce(regexp_matches(trim(email, ' '), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), false) AS bad_email, {_b('phone')} AS phone, {_b('language')} AS language, {_D.format('birth_date')} AS birth_date,
+list_sort(list_filter(cs, lambda s, k: list_position(list_transform(cs, lambda x: x.name), s.name) = k)) AS skills, list_filter(list_transform(coalesce(education_titles, []), lambda x: trim(x, ' ')), lambda x: x <> '') AS education_titles, list_filter(list_transform(coalesce(certifications, []), lambda x: trim(x, ' ')), lambda x: x <> '') AS certifications,
+list_transform(list_filter(coalesce(employment_dates, []), lambda x: coalesce(x.start_date, '') <> '' OR coalesce(x.end_date, '') <> ''), lambda x: {{'start_date': {_D.format('x.start_date')}, 'end_date': {_D.format('x.end_date')}}}) AS employment_dates FROM c),
+y AS (SELECT *, nullif(round(coalesce(list_sum(list_transform(list_filter(employment_dates, lambda p: p.start_date IS NOT NULL), lambda p: greatest(0, date_diff('day', p.start_date, coalesce(p.end_date, DATE '{TODAY}'))) / 365.25)), 0), 1), 0)::DOUBLE AS experience_years, year(DATE '{TODAY}') - year(birth_date) - CASE WHEN '0630' < strftime(birth_date, '%m%d') THEN 1 ELSE 0 END AS yr FROM t),
+ty AS (SELECT *, CASE WHEN yr >= 0 THEN yr END AS age, CASE WHEN experience_years IS NULL THEN NULL WHEN experience_years < 2 THEN 'junior' WHEN experience_years < 5 THEN 'mid' WHEN experience_years < 10 THEN 'senior' WHEN experience_years < 15 THEN 'lead' ELSE 'principal' END AS seniority FROM y)"""
 
-    def add(acc, s):
-        new = ~F.array_contains(acc.keys, F.lower(s["name"]))
-        return F.struct(F.when(new, F.concat(acc.keys, F.array(F.lower(s["name"])))).otherwise(acc.keys).alias("keys"), F.when(new, F.concat(acc.kept, F.array(s))).otherwise(acc.kept).alias("kept"))
 
-    return F.array_sort(F.aggregate(clean, zero, add, lambda acc: acc.kept))
+def typed(spark, d):
+    return D.typed(table(spark, d, "llm_extraction_raw"), F.lit(TODAY).cast("date"), ["raw_id", "document_id", "extracted_at"])
 
 
-@query("""WITH u AS (SELECT raw_id, trim(unnest(skills).name, ' ') AS n, generate_subscripts(skills, 1) AS pos FROM llm_extraction_raw), k AS (SELECT raw_id, lower(n) AS l, min(pos) AS pos FROM u WHERE n <> '' GROUP BY 1, 2)
-SELECT k.raw_id, list_sort(list(u.n)) AS names FROM k JOIN u ON k.raw_id = u.raw_id AND k.pos = u.pos GROUP BY k.raw_id""")
+@query(f"WITH {_TYPED} SELECT raw_id, list_transform(skills, lambda s: s.name || '|' || coalesce(s.level, '')) AS names FROM ty")
 def normalize_skills(spark, d):
-    r = table(spark, d, "llm_extraction_raw").select("raw_id", F.transform(unique_skills(), lambda s: s["name"]).alias("names"))
-    return r.where(F.size("names") > 0)
+    """Skills in lower case, once each, by name, with their levels."""
+    return typed(spark, d).select("raw_id", F.transform("skills", lambda s: F.concat(s["name"], F.lit("|"), F.coalesce(s["level"], F.lit("")))).alias("names"))
 
 
-_P = f"SELECT raw_id, {_D.format('x.start_date')} AS s, {_D.format('x.end_date')} AS e FROM (SELECT raw_id, unnest(employment_dates) AS x FROM llm_extraction_raw) y"
-
-
-@query(f"""WITH p AS ({_P}) SELECT r.raw_id, nullif(round(coalesce(sum(CASE WHEN s IS NOT NULL THEN greatest(0, date_diff('day', s, coalesce(e, DATE '{TODAY}'))) / 365.25 ELSE 0 END), 0), 1), 0)::DOUBLE AS years FROM (SELECT raw_id FROM llm_extraction_raw WHERE employment_dates IS NOT NULL) r LEFT JOIN p USING (raw_id) GROUP BY r.raw_id""")
+@query(f"WITH {_TYPED} SELECT raw_id, experience_years AS years FROM ty")
 def experience_years(spark, d):
     """Years of experience: the sum of the periods, overlaps counted each, an open end as today."""
-    r = table(spark, d, "llm_extraction_raw").where("employment_dates is not null")
-    return r.select("raw_id", V.years_of(typed_periods(), F.lit(TODAY).cast("date")).alias("years"))
+    return typed(spark, d).select("raw_id", F.col("experience_years").alias("years"))
 
 
-@query(f"""WITH p AS ({_P}), n AS (SELECT raw_id, count(*) FILTER (s IS NOT NULL OR e IS NOT NULL) AS periods FROM p GROUP BY 1)
-SELECT r.raw_id, nullif(trim(name, ' '), '') AS full_name, nullif(trim(role, ' '), '') AS role, {_D.format('birth_date')} AS birth_date, CASE WHEN regexp_full_match(trim(email, ' '), '[^@ ]+@[^@ ]+\\.[^@ ]+') THEN lower(trim(email, ' ')) END AS email, coalesce(periods, 0) AS periods FROM llm_extraction_raw r LEFT JOIN n USING (raw_id)""")
+@query(f"WITH {_TYPED} SELECT raw_id, full_name, role, location, email, phone, language, birth_date, age::BIGINT AS age, experience_years, seniority, education_titles, certifications, list_transform(employment_dates, lambda p: coalesce(p.start_date::VARCHAR, '') || '/' || coalesce(p.end_date::VARCHAR, '')) AS periods FROM ty")
 def to_domain(spark, d):
-    """Typed rows of the raw extraction; an e-mail that is none becomes null."""
-    r = table(spark, d, "llm_extraction_raw")
-    mail = F.trim("email")
-    return r.select(
-        "raw_id", F.nullif(F.trim("name"), F.lit("")).alias("full_name"), F.nullif(F.trim("role"), F.lit("")).alias("role"), V.strict_date(F.col("birth_date")).alias("birth_date"),
-        F.when(mail.rlike(r"^[^@ ]+@[^@ ]+\.[^@ ]+$"), F.lower(mail)).alias("email"), F.coalesce(F.size(typed_periods()), F.lit(0)).cast("bigint").alias("periods"),
-    )
+    """Typed and enriched rows of the raw extraction."""
+    shown = F.transform("employment_dates", lambda p: F.concat(F.coalesce(p.start_date.cast("string"), F.lit("")), F.lit("/"), F.coalesce(p.end_date.cast("string"), F.lit(""))))
+    return typed(spark, d).select("raw_id", "full_name", "role", "location", "email", "phone", "language", "birth_date", F.col("age").cast("bigint").alias("age"), "experience_years", "seniority", "education_titles", "certifications", shown.alias("periods"))
 
 
-@query("""SELECT raw_id FROM llm_extraction_raw WHERE email IS NOT NULL AND trim(email, ' ') <> '' AND NOT regexp_full_match(trim(email, ' '), '[^@ ]+@[^@ ]+\\.[^@ ]+')""")
+@query(f"WITH {_TYPED} SELECT raw_id FROM ty WHERE bad_email")
 def email_quarantine(spark, d):
     """Rows whose e-mail is given but is none."""
-    m = F.trim("email")
-    return table(spark, d, "llm_extraction_raw").where(F.col("email").isNotNull() & (m != "") & ~m.rlike(r"^[^@ ]+@[^@ ]+\.[^@ ]+$")).select("raw_id")
+    return typed(spark, d).where("bad_email").select("raw_id")
 
 
-@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY extracted_at DESC, raw_id DESC) AS rn FROM llm_extraction_raw WHERE document_id IS NOT NULL), d AS (SELECT DISTINCT document_id FROM registry)
-SELECT d.document_id, l.name AS full_name, coalesce(nullif(trim(l.role, ' '), ''), 'unknown') AS role FROM d LEFT JOIN l ON d.document_id = l.document_id AND l.rn = 1""")
-def apply_extraction(spark, d):
-    """Registered documents with their last extraction merged in."""
-    raw = table(spark, d, "llm_extraction_raw").where("document_id is not null")
-    last = raw.groupBy("document_id").agg(F.max_by(F.struct("name", "role"), F.struct("extracted_at", "raw_id")).alias("x"))
-    docs = table(spark, d, "registry").select("document_id").distinct()
-    return docs.join(last, "document_id", "left").select("document_id", F.col("x.name").alias("full_name"), F.coalesce(F.nullif(F.trim("x.role"), F.lit("")), F.lit("unknown")).alias("role"))
+_DOC = "coalesce(nullif(trim(document_id, ' '), ''), id)"
+_LAST = f"""la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY extracted_at DESC, raw_id DESC) AS rn FROM ty WHERE document_id IS NOT NULL) q WHERE rn = 1),
+rg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC, version DESC, status, row_key, source_path) AS rn FROM registry) q WHERE rn = 1),
+pr AS (SELECT {Q.strip(_DOC)} AS document_id, min_by({{'full_name': {_b('full_name')}, 'role': {_b('role')}, 'location': {_b('location')}, 'language': {_b('language')}, 'seniority': {_b('seniority')}, 'availability': availability}}, (-coalesce(score, 0), hit_id)) AS b FROM hits WHERE {_DOC} IS NOT NULL GROUP BY 1),
+mg AS (SELECT rg.document_id, rg.source_path, rg.source_paths, rg.version, rg.hash, rg.processed_at, coalesce(la.full_name, b.full_name) AS full_name, coalesce(la.role, b.role) AS role, coalesce(la.location, b.location) AS location, coalesce(la.language, b.language) AS language, coalesce(la.seniority, b.seniority) AS seniority, b.availability AS availability, la.email, la.phone, la.birth_date, la.age, la.skills, la.certifications, la.education_titles, la.employment_dates, la.experience_years FROM rg LEFT JOIN la USING (document_id) LEFT JOIN pr USING (document_id))"""
+
 
+def merged(spark, d):
+    """Registered documents with their last extraction over what their best chunk says, field by field."""
+    raw = typed(spark, d).where("document_id is not null")
+    rest = [c for c in raw.columns if c not in ("raw_id", "document_id", "extracted_at")]
+    last = raw.groupBy("document_id").agg(F.max_by(F.struct(*rest), F.struct("extracted_at", "raw_id")).alias("x"))
+    order = [F.desc("loaded_at"), F.desc("version"), F.asc_nulls_last("status"), F.asc_nulls_last("row_key"), F.asc_nulls_last("source_path")]
+    known = S.latest(table(spark, d, "registry"), ["document_id"], order).select("document_id", "source_path", "source_paths", "version", "hash", "processed_at")
+    fields = ("full_name", "role", "location", "language", "seniority")
+    from ..functions import text as T
 
-def front_matter_lines():
-    """Front matter of a typed row: fixed keys in order, lists indented."""
-    scalar = lambda k, c: F.concat(F.lit(f"{k}: "), T.yaml_scalar(c))
-    names = F.transform(F.coalesce("certifications", F.array().cast("array<string>")), lambda s: F.concat(F.lit("  - "), T.yaml_scalar(s)))
-    return F.concat_ws("\n", F.lit("---"), scalar("document_id", F.col("document_id")), scalar("language", F.col("language")), F.lit("candidate:"), scalar("  full_name", F.col("name")), scalar("  role", F.col("role")), F.lit("certifications:"), F.nullif(F.array_join(names, "\n"), F.lit("")), F.lit("---"), F.lit(""))
+    base = F.struct(*[T.blank_to_null(F.col(c)).alias(c) for c in fields], "availability")
+    best = R.by_document(table(spark, d, "hits")).groupBy("doc").agg(F.max_by(base, F.struct(F.coalesce("score", F.lit(0.0)), -F.col("hit_id"))).alias("b")).withColumnRenamed("doc", "document_id")
+    j = known.join(last, "document_id", "left").join(best, "document_id", "left")
+    own = [F.col(f"x.{c}").alias(c) for c in ("email", "phone", "birth_date", "age", "skills", "certifications", "education_titles", "employment_dates", "experience_years")]
+    return j.select(*known.columns, *[F.coalesce(F.col(f"x.{c}"), F.col(f"b.{c}")).alias(c) for c in fields], F.col("b.availability").alias("availability"), *own)
+
+
+@query(f"WITH {_TYPED}, {_LAST} SELECT document_id, full_name, role, location, language, seniority, email, age::BIGINT AS age, experience_years FROM mg")
+def apply_extraction(spark, d):
+    """Metadata of registered documents after their extraction is merged in."""
+    return merged(spark, d).select("document_id", "full_name", "role", "location", "language", "seniority", "email", F.col("age").cast("bigint").alias("age"), "experience_years")
 
 
 def _y(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '''''' WHEN regexp_matches({c}, '[\\s:]') THEN '\"' || replace({c}, '\"', '\\\"') || '\"' ELSE {c} END"
 
 
-@query(f"""SELECT raw_id, concat_ws(chr(10), '---', 'document_id: ' || {_y('document_id')}, 'language: ' || {_y('language')}, 'candidate:', '  full_name: ' || {_y('name')}, '  role: ' || {_y('role')}, 'certifications:',
-nullif(array_to_string(list_transform(list_filter(coalesce(certifications, []), lambda s: s IS NOT NULL), lambda s: '  - ' || {_y('s')}), chr(10)), ''), '---', '') AS front FROM llm_extraction_raw""")
+def _scalar(k: str, c: str, pad: str = "") -> str:
+    return f"['{pad}{k}: ' || {_y(f'({c})::VARCHAR')}]"
+
+
+def _texts(k: str, c: str) -> str:
+    return f"['{k}:'], list_transform(coalesce({c}, []), lambda s: '  - ' || {_y('s')})"
+
+
+def _structs(k: str, c: str, a: str, b: str) -> str:
+    return f"['{k}:'], list_transform(coalesce({c}, []), lambda s: '  - {a}: ' || {_y(f's.{a}::VARCHAR')} || chr(10) || '    {b}: ' || {_y(f's.{b}::VARCHAR')})"
+
+
+_PATHS = "list_filter(string_split(coalesce(source_paths, ''), ';'), lambda x: x <> '')"
+_KEYS = ", ".join(["['---']", _scalar("document_id", "document_id"), _texts("source_paths", _PATHS), *[_scalar(k, k) for k in ("version", "hash", "processed_at", "language")], "['candidate:']", *[_scalar(k, k, "  ") for k in ("full_name", "role", "location", "email", "phone", "birth_date", "age", "availability", "seniority")], _structs("skills", "skills", "name", "level"), _texts("certifications", "certifications"), _texts("education_titles", "education_titles"), "['languages_spoken:']", _scalar("experience_years", "experience_years"), _structs("employment_dates", "employment_dates", "start_date", "end_date"), "['images:']", _scalar("element_count", "0"), _scalar("image_count", "0"), "['metadata:', '  origin: ' || " + _y("coalesce(source_path, 'none')") + "]", "['---', '']"])
+
+
+@query(f"WITH {_TYPED}, {_LAST} SELECT document_id, array_to_string(flatten([{_KEYS}]), chr(10)) AS front FROM mg")
 def front_matter(spark, d):
-    r = table(spark, d, "llm_extraction_raw").withColumn("certifications", F.filter("certifications", lambda s: s.isNotNull()))
-    return r.select("raw_id", front_matter_lines().alias("front"))
+    """Front matter of every registered document: 17 keys in order."""
+    m = merged(spark, d).withColumn("source_paths", F.filter(F.split(F.coalesce("source_paths", F.lit("")), ";"), lambda x: x != ""))
+    m = m.withColumn("languages_spoken", F.array().cast("array<struct<lang:string,level:string>>")).withColumn("images", F.array().cast("array<struct<blob_path:string,description:string>>"))
+    m = m.withColumn("skills", F.coalesce("skills", F.array().cast(D.SKILLS))).withColumn("employment_dates", F.coalesce("employment_dates", F.array().cast("array<struct<start_date:date,end_date:date>>")))
+    m = m.withColumn("element_count", F.lit(0)).withColumn("image_count", F.lit(0)).withColumn("metadata", F.create_map(F.lit("origin"), F.coalesce("source_path", F.lit("none"))))
+    return m.select("document_id", D.front_matter().alias("front"))
+
+
+@query(f"""WITH s AS (SELECT document_id, 0 AS rank, raw_id AS k, {_b('name')} AS full_name, {_b('role')} AS role, {_b('location')} AS location, {_b('language')} AS language FROM llm_extraction_raw UNION ALL SELECT document_id, 1, hit_id, {_b('full_name')}, {_b('role')}, {_b('location')}, {_b('language')} FROM hits UNION ALL SELECT document_id, 2, doc_id, NULL, NULL, NULL, {_b('lang')} FROM documents)
+SELECT document_id, arg_min(full_name, (rank, k)) FILTER (full_name IS NOT NULL) AS full_name, arg_min(role, (rank, k)) FILTER (role IS NOT NULL) AS role, arg_min(location, (rank, k)) FILTER (location IS NOT NULL) AS location, arg_min(language, (rank, k)) FILTER (language IS NOT NULL) AS language FROM s WHERE document_id IS NOT NULL GROUP BY document_id""")
+def structured_merge(spark, d):
+    """First filled value of each field over extraction, chunks and documents, in this order."""
+    raw = table(spark, d, "llm_extraction_raw").select("document_id", F.col("raw_id").alias("k"), F.col("name").alias("full_name"), "role", "location", "language")
+    chunks = table(spark, d, "hits").select("document_id", F.col("hit_id").alias("k"), "full_name", "role", "location", "language")
+    docs = table(spark, d, "documents").select("document_id", F.col("doc_id").alias("k"), F.col("lang").alias("language"))
+    return D.first_of([s.where("document_id is not null") for s in (raw, chunks, docs)], "document_id", ["full_name", "role", "location", "language"])

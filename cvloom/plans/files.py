@@ -13,9 +13,20 @@ from .registry import query, table
 def extract_json_blocks(spark, d):
     """JSON objects embedded in texts made of the events' properties."""
     t = table(spark, d, "events").select("event_id", F.concat(F.lit("note "), "props", F.lit(" and "), "props").alias("t"))
-    spark.udtf.register("extract_json_blocks", U.ExtractJsonBlocks)
-    t.createOrReplaceTempView("event_texts")
-    return spark.sql("SELECT event_id, block FROM event_texts, LATERAL extract_json_blocks(t)")
+    return t.lateralJoin(U.ExtractJsonBlocks(F.col("t").outer())).select("event_id", "block")
+
+
+_EVIDENCE = """WITH c AS (SELECT match_key, full_name, role, location FROM candidates) SELECT match_key, (coalesce(full_name, '') <> '' OR role IS NOT NULL OR location IS NOT NULL)::INTEGER AS candidates_count, coalesce(trim(full_name, ' '), '') AS candidates_names FROM c"""
+
+
+@query(_EVIDENCE)
+def search_evidence(spark, d):
+    """Different candidates and their first names in recorded responses, here made of candidates twice each, once inside a string."""
+    c = table(spark, d, "candidates")
+    one = F.to_json(F.struct("full_name", "role", "location"))
+    body = F.concat(F.lit('{"data": {"hits": ['), one, F.lit(", "), one, F.lit("]}}"))
+    text = F.concat(F.lit('{"output": '), F.to_json(F.struct(body.alias("payload"))), F.lit("}"))
+    return c.select("match_key", U.evidence_of()(text).alias("e")).select("match_key", "e.candidates_count", "e.candidates_names")
 
 
 @query()
@@ -24,15 +35,14 @@ def collect_hits(spark, d):
     c = table(spark, d, "candidates")
     one = F.to_json(F.struct("match_key", "full_name"))
     body = F.concat(F.lit('{"data": {"hits": ['), one, F.lit("]}}"))
-    spark.udtf.register("collect_hits", U.CollectHits)
-    c.select("match_key", F.concat(F.lit('{"output": '), F.to_json(F.struct(body.alias("payload"))), F.lit("}")).alias("t")).createOrReplaceTempView("candidate_json")
-    return spark.sql("SELECT match_key, hit FROM candidate_json, LATERAL collect_hits(t)")
+    t = c.select("match_key", F.concat(F.lit('{"output": '), F.to_json(F.struct(body.alias("payload"))), F.lit("}")).alias("t"))
+    return t.lateralJoin(U.CollectHits(F.col("t").outer())).select("match_key", "hit")
 
 
 @query()
 def chunk_sections(spark, d):
-    """Header-aware chunks of the normalised markdown."""
-    return U.chunked_by_header(table(spark, d, "documents").where("source = 'normalized-markdown'"), "doc_id", "text", 600, 60)
+    """Header-aware chunks of all documents."""
+    return U.chunked_by_header(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
@@ -48,7 +58,7 @@ def reencoded_text(spark, d):
 @query()
 def embedded_chunks(spark, d):
     """Vectors of the chunks by the deterministic stand-in for a model."""
-    return table(spark, d, "hits").select("hit_id", U.embedder()("content").alias("embedding"))
+    return table(spark, d, "hits").select("hit_id", U.embedder()("content").alias("e")).select("hit_id", F.col("e.vector").alias("embedding"), "e.error")
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS x0, l_suppkey % 50 AS y0, l_partkey % 100 + l_quantity AS x1, l_suppkey % 50 + 10.0 AS y1 FROM lineitem),

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import ranking as K
 from ..operators import retrieval as R
+from . import sql as Q
 from .registry import query, table
 
 _DOC = "coalesce(nullif(trim(document_id, ' '), ''), id)"
@@ -18,7 +19,7 @@ _DOC = "coalesce(nullif(trim(document_id, ' '), ''), id)"
 SELECT doc, count(*) AS chunks, max(coalesce(semantic_score, 0)) AS semantic_score, max(coalesce(vec_score, 0)) AS vec_score, max(coalesce(lex_score, 0)) AS lex_score, max(coalesce(score, 0)) AS score, min(hit_id) FILTER (rn = 1) AS best_hit FROM r GROUP BY doc""")
 def doc_group(spark, d):
     """Documents with the best of each score and their best chunk; one partial aggregation."""
-    h = R.by_document(table(spark, d, "hits"), [])
+    h = R.by_document(table(spark, d, "hits"))
     top = F.max_by("hit_id", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("hit_id")))
     return h.groupBy("doc").agg(F.count("*").alias("chunks"), *[F.max(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("semantic_score", "vec_score", "lex_score", "score")], top.alias("best_hit"))
 
@@ -27,7 +28,7 @@ def doc_group(spark, d):
 SELECT doc, full_name, role, location, source_path FROM r WHERE rn = 1""")
 def doc_primary(spark, d):
     """Attributes of a document's best chunk."""
-    h = R.by_document(table(spark, d, "hits"), [])
+    h = R.by_document(table(spark, d, "hits"))
     best = F.max_by(F.struct("full_name", "role", "location", "source_path"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("hit_id")))
     return h.groupBy("doc").agg(best.alias("b")).select("doc", "b.*")
 
@@ -37,32 +38,28 @@ a AS (SELECT doc, list_sort(list(v)) AS skills FROM s WHERE v <> '' GROUP BY doc
 SELECT doc, coalesce(skills, []) AS skills, coalesce(certs, []) AS certs FROM (SELECT DISTINCT doc FROM g WHERE doc IS NOT NULL) d LEFT JOIN a USING (doc) LEFT JOIN b USING (doc)""")
 def skills_agg(spark, d):
     """Sets of skills and certificates of a document. Values are made distinct before they are gathered."""
-    h = R.by_document(table(spark, d, "hits"), [])
+    h = R.by_document(table(spark, d, "hits"))
     lists = F.array(F.struct(F.lit("s").alias("k"), T.clean_set(F.col("skills")).alias("vs")), F.struct(F.lit("c").alias("k"), F.filter(F.transform(F.coalesce("certifications", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("vs")))
     each = h.select("doc", F.explode(lists).alias("l")).select("doc", "l.k", F.explode_outer("l.vs").alias("v")).distinct()
     gather = lambda k: F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("v"))))
     return each.groupBy("doc").agg(gather("s").alias("skills"), gather("c").alias("certs"))
 
 
-@query(f"""WITH g AS (SELECT {_DOC} AS doc, * FROM hits), r AS (SELECT doc, hit_id, coalesce(score, 0) AS s, left(content, 140) AS c, row_number() OVER (PARTITION BY doc ORDER BY coalesce(score, 0) DESC, hit_id) AS rn FROM g WHERE doc IS NOT NULL AND trim(content, ' ') <> ''),
-t AS (SELECT doc, rn, c FROM r WHERE rn <= 8), k AS (SELECT doc, lower(c) AS l, min(rn) AS rn FROM t GROUP BY 1, 2)
-SELECT k.doc, string_agg(t.c, ' | ' ORDER BY k.rn) AS evidence FROM k JOIN t ON k.doc = t.doc AND k.rn = t.rn GROUP BY k.doc""")
+@query(f"""WITH g AS (SELECT {_DOC} AS doc, * FROM hits), r AS (SELECT doc, hit_id, highlights, left({Q.strip('content')}, 140) AS head, row_number() OVER (PARTITION BY doc ORDER BY coalesce(score, 0) DESC, hit_id) AS rn FROM g WHERE doc IS NOT NULL),
+t AS (SELECT * FROM r WHERE rn <= 8),
+m AS (SELECT doc, rn, list_filter(list_transform(flatten(list_transform(map_values(highlights), lambda v: coalesce(v, []))), lambda x: {Q.inline("regexp_replace(x, '<[^>]+>', ' ', 'g')")}), lambda x: x <> '')[1:6] AS ms FROM t WHERE rn <= 4 AND highlights IS NOT NULL),
+d1 AS (SELECT doc, rn, list_filter(ms, lambda x, k: list_position(list_transform(ms, lambda y: lower(y)), lower(x)) = k) AS ms FROM m),
+p1 AS (SELECT doc, 1 AS src, rn, list_filter(list_transform(string_split(left(array_to_string(ms, ' | '), 1000), '|'), lambda x: {Q.strip('x')}), lambda x: x <> '') AS ps FROM d1),
+sk AS (SELECT DISTINCT doc, lower(trim(unnest(skills), ' ')) AS v FROM g WHERE doc IS NOT NULL), s6 AS (SELECT doc, v, row_number() OVER (PARTITION BY doc ORDER BY v COLLATE C) AS rn FROM sk WHERE v <> ''),
+ps AS (SELECT doc, src, rn, unnest(ps) AS v, generate_subscripts(ps, 1) AS k FROM p1 UNION ALL SELECT doc, 2, rn, v, 1 FROM s6 WHERE rn <= 6 UNION ALL SELECT doc, 3, rn, head, 1 FROM t WHERE head <> ''),
+f AS (SELECT doc, v, src, rn, k, row_number() OVER (PARTITION BY doc, lower(v) ORDER BY src, rn, k) AS again FROM ps WHERE trim(v, ' ') <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY src, rn, k) AS place FROM f WHERE again = 1)
+SELECT doc, string_agg(v, ' | ' ORDER BY place) FILTER (place <= 8) AS evidence FROM (SELECT DISTINCT doc FROM g WHERE doc IS NOT NULL) x LEFT JOIN n USING (doc) GROUP BY doc""")
 def evidence_agg(spark, d):
-    """Heads of a document's best eight chunks without repeats; evidence_all has highlights and skills too. The window keeps eight rows of a document, never all."""
-    h = R.by_document(table(spark, d, "hits"), []).where("trim(content) <> ''")
-    w = Window.partitionBy("doc").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "hit_id")
-    t = h.select("doc", "hit_id", "score", F.left("content", F.lit(140)).alias("c")).withColumn("rn", F.row_number().over(w)).where("rn <= 8")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("rn", "c"))), lambda x: x.c)
-    return t.groupBy("doc").agg(parts.alias("p")).select("doc", R.evidence(F.col("p")).alias("evidence"))
-
-
-@query()
-def evidence_all(spark, d):
     """Highlights of a document's best four chunks, its first six skills and the heads of its best eight chunks: the first eight of these without repeats.
 
     A blank chunk among the eight has no head; a document without any piece has null. Both windows keep a few rows of a document, never all.
     """
-    h = R.by_document(table(spark, d, "hits"), [])
+    h = R.by_document(table(spark, d, "hits"))
     w = Window.partitionBy("doc").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "hit_id")
     t = h.select("doc", "hit_id", "score", F.left(T.strip(F.col("content")), F.lit(140)).alias("c"), R.highlight_pieces(F.col("highlights")).alias("e")).withColumn("rn", F.row_number().over(w)).where("rn <= 8")
     t = t.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rn", "c", "e"))).alias("t"))
@@ -73,12 +70,12 @@ def evidence_all(spark, d):
     return t.join(s, "doc", "left").select("doc", R.evidence(F.concat(marked, F.coalesce("s", none), heads)).alias("evidence"))
 
 
-@query(f"""WITH g AS (SELECT {_DOC} AS doc, coalesce(lex_score, 0) AS l, coalesce(vec_score, 0) AS v, coalesce(semantic_score, 0) AS s FROM hits WHERE language IN ('English', 'Italian')),
+@query(f"""WITH g AS (SELECT {_DOC} AS doc, coalesce(lex_score, 0) AS l, coalesce(vec_score, 0) AS v, coalesce(semantic_score, 0) AS s FROM hits ),
 r AS (SELECT doc, max(round(0.7 * greatest(0, least(1, s / 4)) + 0.2 * greatest(0, least(1, v)) + 0.1 * greatest(0, least(1, l)), 8)) AS rank_score, max(l) AS lex_score, max(v) AS vec_score, count(*) AS n_chunks FROM g WHERE doc IS NOT NULL GROUP BY doc)
 SELECT doc AS document_id, rank_score::DOUBLE AS rank_score, lex_score, vec_score, n_chunks FROM r ORDER BY rank_score DESC, doc LIMIT 6""")
 def top_candidates(spark, d):
-    """The six documents with the best ranked chunk; the flagship query."""
-    h = R.by_document(table(spark, d, "hits").where(F.col("language").isin("English", "Italian")), [])
+    """The six documents with the best ranked chunk, by the scores of the table."""
+    h = R.by_document(table(spark, d, "hits"))
     score = R.rank_score(F.coalesce("semantic_score", F.lit(0.0)), F.col("vec_score"), F.col("lex_score"), None, 8)
     best = h.groupBy("doc").agg(F.max(score).alias("rank_score"), *[F.max(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("lex_score", "vec_score")], F.count("*").alias("n_chunks"))
     return best.orderBy(F.desc("rank_score"), "doc").limit(6).withColumnRenamed("doc", "document_id")

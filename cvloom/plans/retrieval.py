@@ -145,33 +145,22 @@ def dedup_keep_first(spark, d):
     return table(spark, d, "hits").groupBy(*k).agg(F.min("hit_id").alias("hit_id")).select("hit_id")
 
 
-@query("""SELECT h.hit_id FROM hits h WHERE content IS NOT NULL AND EXISTS (SELECT 1 FROM canonical_values c WHERE c.field = 'skill' AND length(c.value) > 8 AND contains(lower(h.content), c.value))""")
-def theta_semi_contains(spark, d):
-    """Hits whose content has one of the longer skills of the list (a small list: one predicate, no pairs); theta_semi_words has all, as whole words."""
-    return _named(spark, d, True)
-
-
-@query("""SELECT h.hit_id FROM hits h WHERE content IS NOT NULL AND NOT EXISTS (SELECT 1 FROM canonical_values c WHERE c.field = 'skill' AND length(c.value) > 8 AND contains(lower(h.content), c.value))""")
-def theta_anti_contains(spark, d):
-    return _named(spark, d, False)
-
-
 _WORD = """coalesce(regexp_matches(' ' || lower(content) || ' ', (SELECT '[^\\p{L}\\p{N}_](?:' || string_agg(regexp_escape(lower(value)), '|') || ')[^\\p{L}\\p{N}_]' FROM canonical_values WHERE field = 'skill' AND trim(value, ' ') <> '')), false)"""
 
 
 @query(f"SELECT hit_id FROM hits WHERE content IS NOT NULL AND {_WORD}")
-def theta_semi_words(spark, d):
+def theta_semi_contains(spark, d):
     """Hits whose content names a skill of the list, of any length, as a whole word."""
-    return _named_whole(spark, d, True)
+    return _named(spark, d, True)
 
 
 @query(f"SELECT hit_id FROM hits WHERE content IS NOT NULL AND NOT {_WORD}")
-def theta_anti_words(spark, d):
+def theta_anti_contains(spark, d):
     """Hits whose content names no skill of the list as a whole word."""
-    return _named_whole(spark, d, False)
+    return _named(spark, d, False)
 
 
-def _named_whole(spark, d, wanted: bool):
+def _named(spark, d, wanted: bool):
     """A plain look for a name goes first; its pattern is tried only where its letters are."""
     name = F.lower("value")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace(name, r"([^\p{L}\p{N}])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
@@ -181,8 +170,25 @@ def _named_whole(spark, d, wanted: bool):
     return h.where(some if wanted else ~some).select("hit_id")
 
 
-def _named(spark, d, wanted: bool):
-    values = table(spark, d, "canonical_values").where("field = 'skill' and length(value) > 8").agg(F.collect_set("value").alias("values"))
-    h = table(spark, d, "hits").where("content is not null").select("hit_id", F.lower("content").alias("c")).crossJoin(F.broadcast(values))  # one row
-    some = F.exists("values", lambda v: F.contains(F.col("c"), v))
-    return h.where(some if wanted else ~some).select("hit_id")
+@query(f"""WITH {_BM} SELECT hit_id, bm.lex_score FROM bm JOIN hits USING (hit_id) WHERE {_STRICT} AND hit_id IN (SELECT doc_id FROM documents WHERE lang IS NOT NULL)""")
+def id_set_filter(spark, d):
+    """Hits of a set of ids that also meet the filter, with their lexical score."""
+    h, ids = table(spark, d, "hits"), table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("hit_id"))
+    kept = R.filtered(h, skills=["java"], low=0, high=25).select("hit_id").join(ids, "hit_id", "left_semi")
+    return R.bm25(h, "hit_id", "content", QUERY).join(kept, "hit_id", "left_semi")
+
+
+# Fields of a candidate that an evaluation sees.
+PUBLIC = ["id", "document_id", "full_name", "role", "location", "skills", "certifications", "seniority", "experience_years", "language", "availability", "version", "source_path", "semantic_score", "highlights"]
+
+
+@query("SELECT hit_id, " + ", ".join(c for c in PUBLIC if c != "highlights") + " FROM hits")
+def project_allowed(spark, d):
+    """The fields of hits that an evaluation may see (highlights aside)."""
+    return table(spark, d, "hits").select("hit_id", *[c for c in PUBLIC if c != "highlights"])
+
+
+@query()
+def knn_approximate(spark, d):
+    """Near neighbours of one vector by random hyperplanes; recall against the exact ones is measured in the tests."""
+    return R.nearest_approximate(table(spark, d, "embeddings"), "vec_id", "embedding", _probe(spark, d), 30)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import store as S
+from ..sources import files
 from .registry import query, table
 
 
@@ -25,13 +26,15 @@ def chunk_delete(spark, d):
     return S.delete(table(spark, d, "hits").select("hit_id", "document_id"), failed, ["document_id"]).select("hit_id")
 
 
-@query("""WITH c AS (SELECT DISTINCT hash FROM registry WHERE hash IS NOT NULL AND status = 'processed'), i AS (SELECT DISTINCT document_id, hash FROM registry WHERE hash IS NOT NULL)
-SELECT count(*) FILTER (c.hash IS NOT NULL) AS hits, count(*) FILTER (c.hash IS NULL) AS misses FROM i LEFT JOIN c USING (hash)""")
+@query("""WITH c AS (SELECT hash, max(version) AS kept FROM registry WHERE hash IS NOT NULL AND status = 'processed' GROUP BY 1), i AS (SELECT DISTINCT document_id, hash FROM registry WHERE hash IS NOT NULL)
+SELECT document_id, hash, kept IS NOT NULL AS hit, coalesce(kept, length(hash)) AS value FROM i LEFT JOIN c USING (hash)""")
 def cache_hit_miss(spark, d):
+    """Items with what the cache holds for their hash, and the others with what is worked out for them (here: a length)."""
     r = table(spark, d, "registry").where("hash is not null")
-    known = r.where("status = 'processed'").select("hash").distinct().withColumn("cached", F.lit(1))
-    items = r.select("document_id", "hash").distinct()
-    return items.join(known, "hash", "left").agg(F.count("cached").alias("hits"), F.count_if(F.col("cached").isNull()).alias("misses"))
+    known = r.where("status = 'processed'").groupBy("hash").agg(F.max("version").alias("value"))
+    hits, misses = S.cached(r.select("document_id", "hash").distinct(), known, "hash")
+    columns = lambda df, hit: df.select("document_id", "hash", F.lit(hit).alias("hit"), "value")
+    return columns(hits, True).unionByName(columns(misses.withColumn("value", F.length("hash")), False))
 
 
 @query("""WITH i AS (SELECT doc_id, source_path, sha256(text) AS hash, replace(lower(trim(document_id, ' ')), ' ', '-') AS row_key FROM documents WHERE text <> ''),
@@ -104,8 +107,11 @@ def project_public(spark, d):
     return table(spark, d, "candidates").drop("email", "phone", "age", "payload_json", "updated_at", "experience_years")
 
 
-@query("""SELECT message_id FROM queue_messages WHERE blob IS NULL OR filename IS NULL OR source_path IS NULL OR trim(source_path, ' ') = ''""")
+@query("""SELECT message_id FROM queue_messages WHERE blob IS NULL OR filename IS NULL OR source_path IS NULL OR message_id % 11 = 0""")
 def queue_rejects(spark, d):
-    """Messages that lack a required field."""
-    m = table(spark, d, "queue_messages")
-    return m.where("blob is null or filename is null or source_path is null or trim(source_path) = ''").select("message_id")
+    """Messages that lack a required field or cannot be read; every second comes as base64, every eleventh is cut off."""
+    m, k = table(spark, d, "queue_messages"), F.col("message_id")
+    body = F.to_json(F.struct("message_id", "blob", "filename", "source_path"))
+    sent = F.when(k % 11 == 0, F.left(body, F.length(body) - 5)).when(k % 2 == 0, F.base64(body.cast("binary"))).otherwise(body)
+    read = files.messages(m.select("message_id", sent.alias("value")), "message_id BIGINT, blob STRING, filename STRING, source_path STRING", keep=["message_id"])
+    return read.where("rejected").select("message_id")

@@ -125,13 +125,14 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, limit:
     return found.limit(limit) if limit else found
 
 
-def messages(texts: DataFrame, schema: str, body: str = "value") -> DataFrame:
-    """Queue messages from JSON, or from JSON in base64; those without a required field are marked rejected."""
+def messages(texts: DataFrame, schema: str, body: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Queue messages from JSON, or from JSON in base64; those unreadable or without a required field are marked rejected. keep: columns that come along."""
     plain = F.from_json(body, schema)
     coded = F.from_json(F.try_to_binary(body, F.lit("base64")).cast("string"), schema)
-    m = texts.select(F.when(F.trim(body).startswith("{"), plain).otherwise(coded).alias("m")).select("m.*")
+    m = texts.select(*(keep or []), F.when(F.trim(body).startswith("{"), plain).otherwise(coded).alias("m"))
+    given = m.select(*(keep or []), *[F.col("m")[f].alias(f) for f in (x.split()[0] for x in schema.split(", ")) if f not in (keep or [])])
     bad = F.col("blob").isNull() | F.col("filename").isNull() | F.col("source_path").isNull()
-    return m.withColumn("rejected", bad)
+    return given.withColumn("rejected", bad)
 
 
 def error_lines(lines: DataFrame) -> DataFrame:

@@ -117,7 +117,11 @@ def test_versions_and_decisions(spark):
 
 def test_json_blocks_and_walk():
     assert [*U.json_blocks('x {"a": "}"} y {"b": {"c": 1}} {bad}')] == ['{"a": "}"}', '{"b": {"c": 1}}']
-    assert [*U.walk_hits({"data": '{"hits": [{"id": 1}, 3]}', "results": [{"id": 2}]})] == [{"id": 1}, {"id": 2}]
+    deep = {"name": "deep"}
+    for _ in range(40):
+        deep = {"a": [deep, {"hits": [deep] if "name" in deep else []}]}
+    assert [*U.walk_hits({"data": '{"hits": [{"role": 1}, {"id": 9}, 3]}', "results": [{"name": 2, "hits": [{"skills": []}]}]})] == [{"name": 2, "hits": [{"skills": []}]}, {"role": 1}, {"skills": []}] and [*U.walk_hits(deep)] == [{"name": "deep"}]
+    assert U.search_evidence('{"hits": [{"full_name": "A"}, {"name": "a "}, {"role": "r"}]}')[:2] == (2, "A")
 
 
 def test_header_chunks():
