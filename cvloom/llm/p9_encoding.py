@@ -199,11 +199,11 @@ def evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = common.saved(best.groupBy("token", "chain").agg(F.max(F.struct("gain", "before")).alias("b")).select("token", "chain", "b.gain", "b.before"), "readings")
     lines = odd.groupBy("doc_id", "source", "line").agg(F.sum("n").alias("odd"))
     helped = best.where("gain > 0").select("token").distinct()
-    near = odd.join(odd.join(helped.hint("merge"), "token", "left_semi").select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
+    near = odd.join(odd.join(helped.hint("merge"), "token", "left_semi").select("doc_id", "line").distinct().hint("merge"), ["doc_id", "line"], "left_semi")
     gains = near.join(best.hint("merge"), "token")
     term = lambda w: F.sum(F.col("n") * F.log(F.lit(w) * F.exp(F.least("gain", F.lit(30.0))) + (1 - w)))
     sums = gains.groupBy("doc_id", "source", "line", "chain").agg(F.sum("n").alias("touched"), *[term(w).alias(f"s{k}") for k, w in enumerate(SHARES)], F.max("gain").alias("most"))
-    sums = sums.where("most > 0").join(lines, ["doc_id", "source", "line"])
+    sums = sums.where("most > 0").join(lines.hint("merge"), ["doc_id", "source", "line"])
     full = [F.col(f"s{k}") + (F.col("odd") - F.col("touched")) * math.log(1 - w) for k, w in enumerate(SHARES)]
     top = F.greatest(*full)
     return sums.select("doc_id", "source", "line", "chain", (top + F.log(sum(F.exp(f - top) for f in full) / len(full))).alias("ll")), best
