@@ -1,6 +1,6 @@
 """A search from request to candidates: filter, three passes, ranking, grouping by document, relaxation, features, soft constraints.
 
-Everything is planned lazily; whether to relax, and whether a constraint would empty the answer, is decided by one broadcast row.
+Everything is planned lazily; whether to relax, and whether a constraint would empty the answer, is decided by windows over the few rows of an answer.
 """
 
 from __future__ import annotations
@@ -78,9 +78,8 @@ def found(chunks: DataFrame, request: dict, words: str, skills: list[str], vecto
 
 def softly(df: DataFrame, test: Column, name: str) -> DataFrame:
     """Rows that meet the test; if none does, all of them with the name among the ignored criteria."""
-    marked = df.withColumn("_ok", F.coalesce(test, F.lit(False)))
-    some = marked.agg(F.coalesce(F.max("_ok"), F.lit(False)).alias("_any"))
-    j = marked.crossJoin(F.broadcast(some)).where(F.col("_ok") | ~F.col("_any"))
+    any_ok = F.max("_ok").over(Window.partitionBy(F.lit(1)))  # the candidates of an answer
+    j = df.withColumn("_ok", F.coalesce(test, F.lit(False))).withColumn("_any", any_ok).where(F.col("_ok") | ~F.col("_any"))
     return j.withColumn("ignored", F.when(F.col("_any"), F.col("ignored")).otherwise(F.concat("ignored", F.array(F.lit(name))))).drop("_ok", "_any")
 
 
@@ -98,9 +97,12 @@ def search(chunks: DataFrame, request: dict, vectors: DataFrame | None = None) -
     strict = found(chunks, request, words, skills, vectors).withColumn("relaxed", F.lit(False))
     answer = strict
     if skills:
-        few = strict.agg((F.count("*") < math.ceil(top * RELAX_BELOW)).alias("few"))
-        more = found(chunks, request, role or query or "*", [], vectors).join(F.broadcast(strict.select("document_id")), "document_id", "left_anti")
-        answer = strict.unionByName(more.crossJoin(F.broadcast(few)).where("few").drop("few").withColumn("relaxed", F.lit(True)))
+        # Some twelve rows: windows over them decide, so that each pass is worked out once.
+        both = strict.unionByName(found(chunks, request, role or query or "*", [], vectors).withColumn("relaxed", F.lit(True)))
+        own = F.sum((~F.col("relaxed")).cast("int")).over(Window.partitionBy(F.lit(1)))
+        known = F.max(~F.col("relaxed")).over(Window.partitionBy("document_id"))
+        both = both.withColumn("_n", own).withColumn("_k", known).where(~F.col("relaxed") | ((F.col("_n") < math.ceil(top * RELAX_BELOW)) & ~F.col("_k")))
+        answer = both.drop("_n", "_k")
         answer = answer.orderBy("relaxed", F.desc("best"), "document_id").limit(CANDIDATES)
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     said = lambda k: F.lit((request.get(k) or "").strip().lower())
