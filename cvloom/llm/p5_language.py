@@ -27,8 +27,10 @@ from . import common
 from .p7_encode import TOKENIZERS
 
 LANGS = ("it", "en", "es", "fr", "de")
-#: Most frequent words of each language on which its model is fitted, and rounds of the fit.
-FIT_WORDS, ROUNDS = 2500, 3
+#: Rounds of the fit.
+ROUNDS = 3
+#: Known words that a worker holds at most, the most frequent ones; the others come to the contents by a join.
+HOT = 1_000_000
 #: Words below which a content's label is not judged.
 LEAST_WORDS = 8
 #: Perplexity of the languages of a word from which it says nothing, and how often it must be seen for that.
@@ -133,6 +135,26 @@ def longest_piece(folder: str) -> int:
     return max(map(len, vocabulary(folder)))
 
 
+def trie(pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of the trie of the pieces as sorted keys (node, character), the node each leads to, and the piece of a node or -1."""
+    step, piece = {}, [-1]
+    for name, k in pieces.items():
+        at = 0
+        for c in name:
+            key = at << 21 | ord(c)
+            at = step.setdefault(key, len(piece))
+            if at == len(piece):
+                piece.append(-1)
+        piece[at] = k
+    keys = np.array(sorted(step), np.int64)
+    return keys, np.array([step[k] for k in keys.tolist()], np.int64), np.array(piece, np.int64)
+
+
+@lru_cache(maxsize=2)
+def vocabulary_trie(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return trie(vocabulary(folder))
+
+
 def spans(word: str, pieces: dict[str, int], longest: int | None = None) -> tuple[int, list[tuple[int, int, int]]]:
     """Length of the marked word and its pieces as (start, end, piece); -1 stands for a character outside the vocabulary."""
     text = "▁" + word
@@ -176,15 +198,32 @@ def log_forward(n: int, found, p: np.ndarray) -> np.ndarray:
 class Lattice:
     """The segmentations of many words at once: spans grouped by their place, each group one step of the forward algorithm."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        longest = max(map(len, pieces), default=1)
-        cut = [spans(w, pieces, longest) for w in words]
-        self.ends = np.array([n for n, _ in cut], int)
-        each = np.array([(i, j, w, k) for w, (_, found) in enumerate(cut) for i, j, k in found], int).reshape(-1, 4)
-        each = each[np.lexsort((each[:, 1], each[:, 0]))]
-        place = each[:, 0] * (self.ends.max(initial=0) + 1) + each[:, 1]
-        self.groups = np.split(np.arange(len(each)), np.flatnonzero(np.diff(place)) + 1) if len(each) else []
-        self.i, self.j, self.w, self.k = each.T
+    def __init__(self, words: list[str], pieces: dict[str, int], steps: tuple | None = None):
+        keys, to, piece = steps or trie(pieces)
+        texts = ["▁" + w for w in words]
+        self.ends = np.array([len(t) for t in texts], int)
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), self.ends)
+        last = np.cumsum(self.ends)[owner]
+        start = at = np.arange(len(code))
+        node, found = np.zeros(len(code), np.int64), []
+        while len(at):  # all starts go down the trie together, as long as it has their next character
+            key = node << 21 | code[at]
+            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ok = keys[where] == key
+            k = np.where(ok, piece[to[where]], -1)
+            keep = k >= 0 if found else np.full(len(k), True)  # a character outside the vocabulary is a span too
+            found.append((start[keep], at[keep] + 1, k[keep]))
+            ok &= at + 1 < last[start]
+            start, at, node = start[ok], at[ok] + 1, to[where[ok]]
+        i, j, self.k = map(np.concatenate, zip(*found)) if found else np.zeros((3, 0), int)
+        self.w = owner[i]
+        first = (np.cumsum(self.ends) - self.ends)[self.w]
+        self.i, self.j = i - first, j - first
+        place = self.i * (self.ends.max(initial=0) + 1) + self.j
+        order = np.argsort(place, kind="stable")
+        self.i, self.j, self.w, self.k, place = (x[order] for x in (self.i, self.j, self.w, self.k, place))
+        self.groups = np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1) if len(place) else []
 
     def values(self, p: np.ndarray) -> np.ndarray:
         return np.where(self.k[:, None] >= 0, p[self.k], FLOOR)
@@ -196,39 +235,125 @@ class Lattice:
             alpha[self.w[g], self.j[g]] += alpha[self.w[g], self.i[g]] * v[g]
         return alpha
 
-    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces, given the counts of the words by language."""
-        alpha, v = self.forward(p), self.values(p)
-        every = np.arange(len(self.ends))
-        beta = np.zeros_like(alpha)
-        beta[every, self.ends] = 1
-        for g in reversed(self.groups):
-            beta[self.w[g], self.i[g]] += beta[self.w[g], self.j[g]] * v[g]
-        scale = counts / np.maximum(alpha[every, self.ends], 1e-300)
-        known = self.k >= 0
-        w, k = self.w[known], self.k[known]
-        got = scale[w] * alpha[w, self.i[known]] * v[known] * beta[w, self.j[known]]
-        return np.stack([np.bincount(k, c, len(p)) for c in got.T], axis=1)
+    def expected(self, p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected uses of pieces, given the counts of the words by language: pieces, languages, uses, one entry a span."""
+        pieces, langs, uses = [], [], []
+        for lang in range(p.shape[1]):
+            column = p[:, lang]
+            some = counts[:, lang] > 0  # most words are of one language
+            value, w = np.where(self.k >= 0, column[self.k], FLOOR), self.w
+            live = some[w]
+            alpha = np.zeros((self.ends.max(initial=0) + 1, len(self.ends)))
+            beta = np.zeros_like(alpha)
+            alpha[0], beta[self.ends, np.arange(len(self.ends))] = 1, 1
+            groups = [x for x in (g[live[g]] for g in self.groups) if len(x)]
+            for g in groups:
+                alpha[self.j[g[0]], w[g]] += alpha[self.i[g[0]], w[g]] * value[g]
+            for g in reversed(groups):
+                beta[self.i[g[0]], w[g]] += beta[self.j[g[0]], w[g]] * value[g]
+            scale = counts[:, lang] / np.maximum(alpha[self.ends, np.arange(len(self.ends))], 1e-300)
+            x = np.flatnonzero(live & (self.k >= 0))
+            pieces.append(self.k[x])
+            langs.append(np.full(len(x), lang))
+            uses.append(scale[w[x]] * alpha[self.i[x], w[x]] * value[x] * beta[self.j[x], w[x]])
+        return tuple(map(np.concatenate, (pieces, langs, uses)))
+
+    def first(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Uses of pieces before the first round: by the square of their length."""
+        known = np.flatnonzero(self.k >= 0)
+        share = (self.j - self.i)[known] ** 2 / (self.ends[self.w[known]] - 1)
+        x, lang = np.nonzero(counts[self.w[known]])
+        return self.k[known][x], lang, counts[self.w[known][x], lang] * share[x]
+
+
+def long_expected(word: str, pieces: dict[str, int], p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lattice.expected of one word in logarithms, for words of any length."""
+    n, found = spans(word, pieces)
+    langs = np.flatnonzero(counts)
+    logs, floor = np.log(p[:, langs]), math.log(FLOOR)
+    alpha, beta = np.full((n + 1, len(langs)), -np.inf), np.full((n + 1, len(langs)), -np.inf)
+    alpha[0] = beta[n] = 0
+    for i, j, k in found:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + (logs[k] if k >= 0 else floor))
+    for i, j, k in reversed(found):
+        beta[i] = np.logaddexp(beta[i], beta[j] + (logs[k] if k >= 0 else floor))
+    i, j, k = np.array([x for x in found if x[2] >= 0], int).reshape(-1, 3).T
+    uses = np.exp(alpha[i] + logs[k] + beta[j] - alpha[n]) * counts[langs]
+    return np.repeat(k, len(langs)), np.tile(langs, len(k)), uses.ravel()
 
 
-def fit(counts: dict[str, np.ndarray], pieces: dict[str, int]) -> np.ndarray:
-    """Piece probabilities of each language by EM on word counts (word to counts by language)."""
-    size, words = len(pieces), [w for w in counts if len(w) < PLAIN]
-    lattice, number = Lattice(words, pieces), np.array([counts[w] for w in words]).reshape(-1, len(LANGS))
-    known = lattice.k >= 0
-    w, k = lattice.w[known], lattice.k[known]
-    first = number[w] * ((lattice.j - lattice.i)[known] ** 2 / (lattice.ends[w] - 1))[:, None]
-    p = 1e-3 + np.stack([np.bincount(k, c, size) for c in first.T], axis=1)
+def uses(words: list[str], counts: np.ndarray, p: np.ndarray | None, pieces: dict[str, int], steps: tuple, scale: float) -> np.ndarray:
+    """Uses of each piece in each language, for the start (p is None) or a round of the fit, in whole numbers of 1 / scale.
+
+    Whole numbers add up to the same in any order, so the model does not depend on the split of the words.
+    """
+    total = np.zeros(len(pieces) * len(LANGS), np.int64)
+
+    def add(k, lang, got):
+        np.add.at(total, k * len(LANGS) + lang, np.rint(got * scale).astype(np.int64))
+
+    small = [x for x, w in enumerate(words) if p is None or len(w) < PLAIN]
+    lattice = Lattice([words[x] for x in small], pieces, steps)
+    add(*(lattice.first(counts[small]) if p is None else lattice.expected(p, counts[small])))
+    for x in set(range(len(words))).difference(small):
+        add(*long_expected(words[x], pieces, p, counts[x]))
+    return total.reshape(-1, len(LANGS))
+
+
+def unit(longest_word: int) -> float:
+    """Scale at which the uses of a piece stay whole numbers of 64 bits, for words that weigh WEIGHT in each language."""
+    return 2.0 ** math.floor(62 - math.log2(WEIGHT * max(256, longest_word + 1)))
+
+
+def estimate(step, size: int) -> np.ndarray:
+    """Piece probabilities of each language by EM; step gives the uses of the pieces under given probabilities."""
+    p = 1e-3 + step(None)
     p /= p.sum(axis=0)
     for _ in range(ROUNDS):
-        got = lattice.expected(p, number)
+        got = step(p)
         got /= np.maximum(got.sum(axis=0), 1e-9)
         p = 0.97 * got + 0.02 * got.mean(axis=1, keepdims=True) + 0.01 / size
     return p
 
 
+def fit(counts: dict[str, np.ndarray], pieces: dict[str, int]) -> np.ndarray:
+    """Piece probabilities of each language by EM on word counts (word to counts by language)."""
+    words, number, steps = list(counts), np.array(list(counts.values()), float).reshape(-1, len(LANGS)), trie(pieces)
+    number, scale = number * (WEIGHT / np.maximum(number.sum(axis=0), 1)), unit(max(map(len, words), default=0))
+    return estimate(lambda p: uses(words, number, p, pieces, steps, scale) / scale, len(pieces))
+
+
+def fit_table(words: DataFrame, folder: str) -> np.ndarray:
+    """fit over a table (word, n: counts by language). Each round is a pass over it that brings home one number a piece and language."""
+    context, size = words.sparkSession.sparkContext, len(vocabulary(folder))
+    sums = [F.sum(F.col("n")[k]).alias(lang) for k, lang in enumerate(LANGS)]
+    *totals, longest = words.agg(*sums, F.max(F.length("word"))).first()
+    weight, scale = WEIGHT / np.maximum(np.array([t or 0 for t in totals], float), 1), unit(longest or 0)
+
+    def step(p):
+        model = context.broadcast(p)
+
+        def run(batches):
+            pieces, steps = vocabulary(folder), vocabulary_trie(folder)
+            total = np.zeros((size, len(LANGS)), np.int64)
+            for part in batches:
+                if len(part):
+                    total += uses(part["word"].tolist(), np.stack(part["n"]) * weight, model.value, pieces, steps, scale)
+            x = np.flatnonzero(total)
+            yield pd.DataFrame({"x": x, "n": total.ravel()[x]})
+
+        got = words.mapInPandas(run, "x bigint, n bigint").groupBy("x").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(size * len(LANGS))
+        total[got["x"].to_numpy()] = got["n"].to_numpy()
+        return total.reshape(size, len(LANGS)) / scale
+
+    return estimate(step, size)
+
+
 #: Letters from which a word's probability is summed in logarithms.
 PLAIN = 32
+#: Weight of all words of a language in the fit: languages weigh alike.
+WEIGHT = 1e6
 
 
 def word_scores(w: str, p: np.ndarray, pieces: dict[str, int], longest: int) -> tuple:
@@ -236,56 +361,89 @@ def word_scores(w: str, p: np.ndarray, pieces: dict[str, int], longest: int) ->
     return tuple((np.log(np.maximum(forward(n, found, p)[n], 1e-300)) if n <= PLAIN else log_forward(n, found, p)).tolist())
 
 
-class Model:
-    """known: scores of the fitted words; None for a word that all languages use alike."""
+def bounded(scores: np.ndarray, size) -> np.ndarray:
+    """Advantages of the languages in a word. A single word cannot outweigh the rest: they are bounded, in a run of letters by its length."""
+    return np.maximum(scores - scores.max(axis=-1, keepdims=True), np.minimum(-6.0, np.asarray(size) / -3.0)[..., None])
+
 
-    def __init__(self, p: np.ndarray, known: dict[str, tuple | None], folder: str):
-        self.p, self.known, self.pieces, self.longest = p, known, vocabulary(folder), longest_piece(folder)
-        self.memory: dict[str, tuple] = {}
+def advantages(words: list[str], p: np.ndarray, folder: str) -> np.ndarray:
+    """bounded of many words, a row each."""
+    pieces, longest, out = vocabulary(folder), longest_piece(folder), np.zeros((len(words), len(LANGS)))
+    size = np.array([len(w) for w in words], int)
+    small, every = np.flatnonzero(size < PLAIN), range(0, len(words), 10_000)
+    for x in (small[k : k + 10_000] for k in every if k < len(small)):
+        lattice = Lattice([words[k] for k in x], pieces, vocabulary_trie(folder))
+        out[x] = np.log(np.maximum(lattice.forward(p)[np.arange(len(x)), lattice.ends], 1e-300))
+    for x in np.flatnonzero(size >= PLAIN):
+        out[x] = word_scores(words[x], p, pieces, longest)
+    return bounded(out, size)
 
-    def word(self, w: str) -> tuple:
-        got = self.known.get(w) or self.memory.get(w)
+
+class Model:
+    """known: rows of the known words that are held, -1 for a word that all languages use alike; rows: advantages of the languages."""
+
+    def __init__(self, p: np.ndarray, known: dict[str, int], rows: np.ndarray, folder: str):
+        self.p, self.known, self.folder, self.pieces, self.longest = p, known, folder, vocabulary(folder), longest_piece(folder)
+        self.memory: dict[str, int] = {}
+        self.held = self.size = len(rows)
+        self.rows = np.concatenate([rows, np.zeros((1024, len(LANGS)))])
+
+    def learn(self, words: list[str], rows: np.ndarray | None = None) -> None:
+        """Adds words to the memory."""
+        rows = advantages(words, self.p, self.folder) if rows is None else rows
+        end = self.size + len(words)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end, 2 * self.size) - self.size, len(LANGS)))])
+        self.rows[self.size : end] = rows
+        self.memory.update(zip(words, range(self.size, end)))
+        self.size = end
+
+    def forget(self) -> None:
+        """Clears a full memory; only between contents, as a content holds numbers of rows."""
+        if len(self.memory) > MEMORY:
+            self.memory.clear()
+            self.size = self.held
+
+    def word(self, w: str) -> int:
+        got = self.memory.get(w)
         if got is None:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            got = self.memory[w] = word_scores(w, self.p, self.pieces, self.longest)
+            self.learn([w], bounded(np.array(word_scores(w, self.p, self.pieces, self.longest)), len(w)))
+            got = self.memory[w]
         return got
 
     def paragraph(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the log-likelihood of each language."""
         written = WORD.findall(text)
         n, shown = len(written), without_mail(text)
-        known, others, memory = self.known, [], self.memory
-        rows, sizes = [], []
+        known, others, memory, rows = self.known, [], self.memory, []
         for x in written if shown is text else WORD.findall(shown):
             w = x.lower()
-            if w in known:
-                got = known[w]
-                if got is None:
+            got = known.get(w)
+            if got is None:
+                if not (w.isalpha() and len(w) > 1):
                     continue
-            elif w.isalpha() and len(w) > 1:
                 if x[0] != w[0]:
                     others.append(w)
                     continue
                 got = memory.get(w)
                 got = self.word(w) if got is None else got
-            else:
-                continue
-            rows.append(got)
-            sizes.append(len(w))
+            if got >= 0:
+                rows.append(got)
         if len(rows) < 4:
             rows += [self.word(w) for w in others]
-            sizes += map(len, others)
-        if not rows:
-            return n, np.zeros(len(LANGS))
-        a = np.array(rows)
-        # A single word cannot outweigh the rest: its advantage is bounded, in a run of letters by its length.
-        a -= a.max(axis=1, keepdims=True)
-        return n, np.maximum(a, np.minimum(-6.0, np.array(sizes) / -3.0)[:, None]).sum(axis=0)
-
-    def content(self, text: str | None) -> list[tuple[int, str, float, int]]:
-        """(seg_no, lang, confidence, words): 0 for the whole, then each paragraph if they are not all in one language."""
+        return n, self.rows[rows].sum(axis=0) if rows else np.zeros(len(LANGS))
+
+    def content(self, text: str | None, more: dict[str, bool] | None = None) -> list[tuple[int, str, float, int]]:
+        """(seg_no, lang, confidence, words): 0 for the whole, then each paragraph if they are not all in one language.
+
+        more: known words of this text that the model does not hold, and whether all languages use them alike.
+        """
+        self.forget()
+        if more:
+            self.known.update({w: -1 if alike else self.word(w) for w, alike in more.items()})
         parts = [self.paragraph(p) for p in paragraphs(text)]
+        for w in more or ():
+            del self.known[w]
         if not parts:
             return []
         total = sum(s for _, s in parts)
@@ -309,46 +467,98 @@ class Model:
         return out
 
 
-def trained(texts: DataFrame, folder: str = TOKENIZERS):
-    """(piece probabilities, scores of the fitted words) from a table with the columns t and, if there are labels, l."""
+def known_words(texts: DataFrame) -> DataFrame:
+    """word, n (its counts by language, all words seen more than twice in a language), alike (all languages use it alike)."""
     counts = common.saved(word_counts(texts).where("n > 2"), "language-words")
-    top = None
-    for lang in LANGS:
-        part = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(FIT_WORDS)
-        top = part if top is None else top.unionByName(part)
-    words = top.select("word").distinct()
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # five
     size = np.array([max(1, totals.get(lang, 0)) for lang in LANGS], float)
-    table: dict[str, np.ndarray] = {}
-    for r in counts.join(F.broadcast(words), "word", "left_semi").collect():  # at most FIT_WORDS words a language
-        table.setdefault(r.word, np.zeros(len(LANGS)))[LANGS.index(r.lang)] = r.n
-    if not table:
-        table = {w: np.array([10.0 * (w in FUNCTION_WORDS[lang]) for lang in LANGS]) for w in SEEDS}
-    same = {w for w, c in table.items() if w not in SEEDS and c.sum() >= COMMON_LEAST and common_to_all(c / size)}
-    own = {w: c for w, c in table.items() if w not in same}
-    totals = np.maximum(sum(own.values()), 1)
-    own = {w: c * (1e6 / totals) for w, c in own.items()}  # languages weigh alike
-    pieces, longest = vocabulary(folder), longest_piece(folder)
-    p = fit(own, pieces)
-    return p, {w: word_scores(w, p, pieces, longest) for w in own} | dict.fromkeys(same)
-
-
-def common_to_all(share: np.ndarray) -> bool:
-    """Whether a word is spread over the languages, by the perplexity of its shares."""
-    share = share / share.sum()
-    return bool(np.exp(-(share * np.log(np.maximum(share, 1e-12))).sum()) > COMMON)
+    if not totals:
+        rows = [(w, [10 * (w in FUNCTION_WORDS[lang]) for lang in LANGS], False) for w in SEEDS]
+        return texts.sparkSession.createDataFrame(rows, "word string, n array<bigint>, alike boolean")
+
+    def judge(batches):
+        for part in batches:
+            n = np.stack(part["n"]) if len(part) else np.zeros((0, len(LANGS)))
+            alike = (n.sum(axis=1) >= COMMON_LEAST) & common_to_all(n / size) & ~part["word"].isin(SEEDS).to_numpy()
+            yield part.assign(alike=alike)
+
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in LANGS]
+    words = counts.groupBy("word").agg(F.array(*each).alias("n"))
+    return common.saved(words.mapInPandas(judge, "word string, n array<bigint>, alike boolean"), "language-known")
+
+
+def fitted(texts: DataFrame, folder: str = TOKENIZERS):
+    """What trained gives, and a table of the other known words or None."""
+    words = known_words(texts)
+    p = fit_table(words.where("not alike"), folder)
+    words = words.select("word", "alike", F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
+    held, rest, hot = 0, None, words
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():  # numbers of times, not words
+        if held + r.words > HOT:
+            hot, rest = words.where(F.col("n") > r.n), words.where(F.col("n") <= r.n).select("word", "alike")
+            break
+        held += r.words
+    model = texts.sparkSession.sparkContext.broadcast(p)
+
+    def score(batches):
+        for part in batches:
+            yield part.assign(a=list(advantages(part["word"].tolist(), model.value, folder)))
+
+    got = hot.select("word", "alike").mapInPandas(score, "word string, alike boolean, a array<double>").toArrow()
+    known = {w: -1 if alike else k for k, (w, alike) in enumerate(zip(got["word"].to_pylist(), got["alike"].to_pylist()))}
+    return (p, known, got["a"].combine_chunks().flatten().to_numpy().reshape(-1, len(LANGS))), rest
+
+
+def trained(texts: DataFrame, folder: str = TOKENIZERS):
+    """Piece probabilities, numbers of the HOT most frequent known words and their advantages, as a Model takes them.
+
+    texts has the columns t and, if there are labels, l.
+    """
+    return fitted(texts, folder)[0]
+
+
+def common_to_all(share: np.ndarray) -> np.ndarray:
+    """Whether a word is spread over the languages, by the perplexity of its shares (the last axis)."""
+    share = share / share.sum(axis=-1, keepdims=True)
+    return np.exp(-(share * np.log(np.maximum(share, 1e-12))).sum(axis=-1)) > COMMON
+
+
+def with_rest(rows: DataFrame, known: dict, rest: DataFrame) -> DataFrame:
+    """rows (t and others) with more: the words of t that are in rest, after - if all languages use them alike, else after +.
+
+    Joined by word and by the hash of the text.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    def others(batches):
+        hot = held.value
+        for part in batches:
+            met = [list({w.lower() for p in paragraphs(t) for w in WORD.findall(without_mail(p))} - hot) for t in part["t"]]
+            yield pd.DataFrame({"h": part["h"], "words": met})
+
+    rows = rows.withColumn("h", F.unhex(F.sha2("t", 256)))
+    met = rows.select("h", "t").where("t is not null").mapInPandas(others, "h binary, words array<string>")
+    met = met.select("h", F.explode("words").alias("word")).join(rest, "word")
+    more = met.groupBy("h").agg(F.collect_set(F.concat(F.when(F.col("alike"), "-").otherwise("+"), "word")).alias("more"))
+    return rows.join(more, "h", "left").drop("h")
 
 
 def languages(hits: DataFrame, key: str = "hit_id", text: str = "content", label: str | None = "language", folder: str = TOKENIZERS) -> DataFrame:
     """key, seg_no, lang, confidence, words, label_lang (language the label names, null if none)."""
     columns = [F.col(key).alias("k"), F.col(text).alias("t"), (F.col(label) if label else F.lit(None).cast("string")).alias("l")]
     rows = common.spread(hits.select(*columns))
-    model = hits.sparkSession.sparkContext.broadcast(trained(rows.select("t", "l"), folder))
+    held, rest = fitted(rows.select("t", "l"), folder)
+    model = hits.sparkSession.sparkContext.broadcast(held)
+    if rest is not None:
+        rows = with_rest(rows, held[1], rest)
 
     def run(batches):
         m = Model(*model.value, folder)
         for part in batches:
-            out = [(k, *seg, label_language(lab)) for k, t, lab in zip(part.k, part.t, part.l) for seg in m.content(t)]
+            more = [x if x is None else {w[1:]: w[0] == "-" for w in x} for x in part["more"]] if "more" in part else [None] * len(part)
+            m.forget()
+            m.learn(list({w for x in more if x for w, alike in x.items() if not alike}.difference(m.memory)))
+            out = [(k, *seg, label_language(lab)) for k, t, lab, x in zip(part.k, part.t, part.l, more) for seg in m.content(t, x)]
             yield pd.DataFrame(out, columns=["k", "seg_no", "lang", "confidence", "words", "label_lang"])
 
     kind = hits.select(key).dtypes[0][1]

@@ -272,6 +272,57 @@ def test_model_does_not_depend_on_partitions(spark, small):
     assert one == many
 
 
+def rare_words(spark):
+    """Texts of one language with 4,000 different words, each seen three times, and nothing else often."""
+    letters = "abcdefgilmnoprstuvz"
+    words = ["".join(x) + "are" for x in itertools.islice(itertools.product(letters, repeat=4), 4000)]
+    texts = ["il lavoro di una della " + " ".join(words[k : k + 100]) for k in range(0, 4000, 100)] * 3
+    return words, spark.createDataFrame([(t,) for t in texts], "t string")
+
+
+def test_all_words_are_fitted(spark):
+    words, texts = rare_words(spark)
+    p, known, _ = p5_language.trained(texts)
+    assert set(words) <= set(known)
+    counts = {w: np.array([3.0, 0, 0, 0, 0]) for w in words} | {w: np.array([120.0, 0, 0, 0, 0]) for w in "il lavoro di una della".split()}
+    assert np.array_equal(p, p5_language.fit(counts, p5_language.vocabulary(p5_language.TOKENIZERS)))
+    few = dict(sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:2500])
+    assert not np.allclose(p, p5_language.fit(few, p5_language.vocabulary(p5_language.TOKENIZERS)), rtol=0.01)
+
+
+def test_long_words_are_fitted():
+    pieces = p5_language.vocabulary(p5_language.TOKENIZERS)
+    longest = p5_language.longest_piece(p5_language.TOKENIZERS)
+    short, long = (p5_language.fit({"work": np.array([0, 9.0, 0, 0, 0]), "lavoro" * n: np.array([9.0, 0, 0, 0, 0])}, pieces) for n in (5, 50))
+    for p in (short, long):
+        got = p5_language.word_scores("lavoro" * 2, p, pieces, longest)
+        assert got[0] > got[1] + 5
+    number = np.array([2.0, 0, 3.0, 0, 0])
+    for w in ("lavoro", "hauptbahnhof", "x世y"):
+        one, other = np.zeros((2, len(pieces), 5))
+        for total, (k, lang, uses) in ((one, p5_language.long_expected(w, pieces, short, number)), (other, p5_language.Lattice([w], pieces).expected(short, number[None]))):
+            np.add.at(total, (k, lang), uses)
+        assert one.any() and np.allclose(one, other)
+
+
+def test_lattice_has_the_spans_of_each_word():
+    pieces = p5_language.vocabulary(p5_language.TOKENIZERS)
+    words = ["lavoro", "a", "", "straße", "x世y", "internationalisierung", "12345"]
+    lattice = p5_language.Lattice(words, pieces)
+    for n, w in enumerate(words):
+        own = lattice.w == n
+        assert sorted(zip(lattice.i[own], lattice.j[own], lattice.k[own])) == sorted(p5_language.spans(w, pieces)[1])
+
+
+def test_known_words_beyond_those_held_are_joined(spark, small, monkeypatch):
+    """Words that a worker does not hold are known all the same; null, blank and repeated contents stay."""
+    hits = common.table(spark, small, "hits").select("hit_id", "content", "language")
+    hits = hits.unionByName(hits.where("hit_id % 50 = 0")).unionByName(spark.createDataFrame([(-1, None, "it"), (-2, " ", None)], hits.schema))
+    whole = sorted(map(tuple, p5_language.languages(hits).collect()))
+    monkeypatch.setattr(p5_language, "HOT", 60)
+    assert sorted(map(tuple, p5_language.languages(hits.repartition(7)).collect())) == whole
+
+
 def test_names_and_towns_do_not_change_a_language():
     assert p5_language.common_to_all(np.array([0.2, 0.25, 0.15, 0.2, 0.2])) and not p5_language.common_to_all(np.array([0.5, 0.45, 0.01, 0.02, 0.02]))
     assert p5_language.without_mail("Name a.b@c.test x.y (at) z.test (end)").split() == ["Name", "(end)"]
